@@ -53,3 +53,10 @@ def n_words(text: Column) -> Column:
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Deal rows out by a hash of keys over as many partitions as a shuffle has."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def extended(schema, ddl: str):
+    """A schema with the columns of ddl appended."""
+    from pyspark.sql.types import StructType
+
+    return StructType(schema.fields + StructType.fromDDL(ddl).fields)

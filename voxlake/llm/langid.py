@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load
+from .common import extended, load
 from .shingles import _BYTE, mix
 
 UNKNOWN = "und"
@@ -271,8 +271,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
 
     plain = docs.drop("lang_pred", "score")
-    schema = plain.schema.add("lang_pred", "string").add("score", "double")
-    return plain.mapInArrow(run, schema)
+    return plain.mapInArrow(run, extended(plain.schema, "lang_pred string, score double"))
 
 
 def keep_known(docs: DataFrame, least_score: float = 0.4) -> DataFrame:
