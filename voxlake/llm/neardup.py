@@ -10,9 +10,10 @@ forms with one symbol left out, and all pairs within the distance meet in a buck
 Pairs of a bucket are never expanded. Each member is linked to the bucket's least node, if their signatures
 are within the distance and their full sets confirm it; components of these links are formed; what is left
 are buckets with members of different components, which are compared in blocks of BLOCK by BLOCK members,
-dealt out over tasks, with pairs of one component left out and only pairs within the distance emitted, to
-be confirmed on full sets. All links between different components are found this way, so the components
-are those of all pairs within the distance.
+dealt out over tasks, with pairs of one component left out. Each pair within the distance is named in its
+first bucket only, in a list of partners, a row per member; then the members' full sets join their block
+and the pairs are confirmed there, which yields only links that span what is connected. All links between
+different components are found this way, so the components are those of all pairs within the distance.
 
 Defined cases: null or wordless texts have an empty set and are linked with nothing; repeated rows are one
 node and get the same component; a null doc_id takes no part in minima; an empty table gives no rows; other
@@ -137,9 +138,40 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(100 * shared >= PERCENT * (F.size("set_a") + F.size("set_b") - shared)).select("a", "b")
 
 
-def _rest_pairs(members: DataFrame) -> DataFrame:
-    """members(key, node, component, n, sig) of buckets with several components -> pairs (a, b) of different
-    components within the distance. Large buckets are dealt out as pairs of blocks."""
+def _first_bucket(differs: np.ndarray) -> np.ndarray:
+    """Of pairs' differing symbols (n, SYMBOLS): the first bucket both are in, by its place in bucket_keys."""
+    d = differs.reshape(-1, CHUNKS, CHUNK_SYMBOLS)
+    per = d.sum(2)
+    chunk = (per <= 1).argmax(1)
+    at = np.arange(len(d))
+    return chunk * CHUNK_SYMBOLS + np.where(per[at, chunk] == 0, 0, d[at, chunk].argmax(1))
+
+
+def _by_group(batches, columns: int):
+    """Join batches sorted by their first columns into tables that hold whole groups, at least one each."""
+    held = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+        keys = [t.column(k).to_numpy() for k in range(columns)]
+        whole = int(np.flatnonzero(np.logical_and.reduce([x == x[-1] for x in keys]))[0])
+        if whole:
+            yield t.slice(0, whole).combine_chunks()
+        held = t.slice(whole)
+    if held is not None and held.num_rows:
+        yield held.combine_chunks()
+
+
+def _group_edges(keys: list[np.ndarray]) -> list[int]:
+    new = np.logical_or.reduce([x[1:] != x[:-1] for x in keys])
+    return [0, *(np.flatnonzero(new) + 1).tolist(), len(keys[0])]
+
+
+def _candidates(members: DataFrame) -> DataFrame:
+    """members(key, node, component, n, sig) of buckets with several components -> task, node, partners: for each
+    pair of blocks of a bucket, the nodes that have a pair of different components within the distance there,
+    and of each the partners (packed) it is to be confirmed with. A pair is named in its first bucket only."""
     blocks = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     dealt = members.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -147,7 +179,7 @@ def _rest_pairs(members: DataFrame) -> DataFrame:
     n_parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(n_parts, "key", "p", "q").sortWithinPartitions("key", "p", "q")
 
-    def compare(own, node, comp, n, sig, p, q):
+    def compare(place, own, node, comp, n, sig, p, q):
         x = np.flatnonzero(own == p)
         y = x if p == q else np.flatnonzero(own == q)
         for i in range(0, len(x), 64):
@@ -159,42 +191,96 @@ def _rest_pairs(members: DataFrame) -> DataFrame:
             i1, i2 = np.nonzero(ok)
             for k in range(0, len(i1), 20_000):
                 r, c = rows[i1[k : k + 20_000]], y[i2[k : k + 20_000]]
-                near = (sig[r] != sig[c]).sum(1) <= DISTANCE
-                yield node[r[near]], node[c[near]]
+                differs = sig[r] != sig[c]
+                near = np.flatnonzero(differs.sum(1) <= DISTANCE)
+                near = near[_first_bucket(differs[near]) == place]
+                yield r[near], c[near]
 
     def run(batches):
-        held, seen = None, set()
-
-        def flush(t: pa.Table):
-            key, p, q = (t.column(k).to_numpy() for k in range(3))
-            own, node, comp, n = (t.column(k).to_numpy() for k in range(3, 7))
+        for t in _by_group(batches, 3):
+            key, p, q, own, node, comp, n = (t.column(k).to_numpy() for k in range(7))
             sig = _fixed(t.column(7).combine_chunks(), "<u2", SYMBOLS)
-            new = np.flatnonzero((key[1:] != key[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])) + 1
-            found = []
-            for i, j in zip([0, *new.tolist()], [*new.tolist(), len(key)]):
-                if j - i > 1:
-                    for a, b in compare(own[i:j], node[i:j], comp[i:j], n[i:j], sig[i:j], p[i], q[i]):
-                        for pair in zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist()):
-                            if pair not in seen:
-                                if len(seen) < 200_000:
-                                    seen.add(pair)
-                                found.append(pair)
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
-
-        for b in batches:
-            t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
-            if not t.num_rows:
-                continue
-            key, p, q = (t.column(k).to_numpy() for k in range(3))
-            whole = int(np.flatnonzero((key == key[-1]) & (p == p[-1]) & (q == q[-1]))[0])
-            if whole:
-                yield from flush(t.slice(0, whole))
-            held = t.slice(whole)
-        if held is not None and held.num_rows:
-            yield from flush(held)
+            edges = _group_edges([key, p, q])
+            out: list[list] = [[], [], []]
+            for i, j in zip(edges, edges[1:]):
+                if j - i < 2:
+                    continue
+                place = int((bucket_keys(sig[i : i + 1]).view(np.int64)[0] == key[i]).argmax())
+                found = list(compare(place, own[i:j], node[i:j], comp[i:j], n[i:j], sig[i:j], p[i], q[i]))
+                a, b = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+                if not len(a):
+                    continue
+                task = int(mix(np.array([key[i] ^ (int(p[i]) << 20) ^ int(q[i])], np.int64).view(np.uint64)).view(np.int64)[0])
+                order = np.argsort(a, kind="stable")
+                a, b = a[order], b[order]
+                for x in np.union1d(a, b).tolist():
+                    lo, hi = np.searchsorted(a, [x, x + 1])
+                    for col, v in zip(out, (task, int(node[i + x]), node[i + b[lo:hi]].tobytes())):
+                        col.append(v)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], names=["task", "node", "partners"])
+
+    return dealt.mapInArrow(run, "task long, node long, partners binary")
+
+
+#: Pairs of a task up to which sets are met one by one; columns of a table of memberships beyond.
+FEW_PAIRS, TABLE_COLUMNS = 48, 8192
+
+
+def shared_counts(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of pairs of sorted sets."""
+    if len(a) <= FEW_PAIRS:
+        return np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(a, b)], np.int64)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row, column = row[count[column] > 1], column[count[column] > 1]
+    _, column = np.unique(column, return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    met = np.zeros((len(sets), len(sets)), np.float32)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, TABLE_COLUMNS):
+        i, j = np.searchsorted(column, [lo, lo + TABLE_COLUMNS])
+        m = np.zeros((len(sets), TABLE_COLUMNS), np.float32)
+        m[row[i:j], column[i:j] - lo] = 1
+        met += m @ m.T
+    return met[a, b].round().astype(np.int64)
+
+
+def _confirm_tasks(tasks: DataFrame, sets: DataFrame) -> DataFrame:
+    """Confirm the pairs of tasks on full sets -> a, b: links that span what a task's similar pairs connect."""
+    n_parts = int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = tasks.join(sets, "node").select("task", "node", "partners", "shingles").repartition(n_parts, "task").sortWithinPartitions("task", "node")
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    def run(batches):
+        for t in _by_group(batches, 1):
+            task, node = t.column(0).to_numpy(), t.column(1).to_numpy()
+            partners, shingles = t.column(2).to_pylist(), t.column(3).combine_chunks()
+            edges = _group_edges([task])
+            out: list[list] = [[], []]
+            for i, j in zip(edges, edges[1:]):
+                own = node[i:j]
+                lists = [np.frombuffer(x, np.int64) for x in partners[i:j]]
+                a = np.repeat(np.arange(j - i), [len(x) for x in lists])
+                b = np.searchsorted(own, np.concatenate(lists))
+                held = [shingles[k].values.to_numpy() for k in range(i, j)]
+                size = np.array([len(x) for x in held])
+                got = shared_counts([np.sort(x) for x in held], a, b)
+                alike = np.flatnonzero(100 * got >= PERCENT * (size[a] + size[b] - got))
+                root = list(range(j - i))
+                for x, y in zip(a[alike].tolist(), b[alike].tolist()):
+                    u, v = x, y
+                    while root[u] != u:
+                        u = root[u] = root[root[u]]
+                    while root[v] != v:
+                        v = root[v] = root[root[v]]
+                    if u != v:
+                        root[max(u, v)] = min(u, v)
+                        out[0].append(int(own[x]))
+                        out[1].append(int(own[y]))
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -222,7 +308,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     placed = members.select("key", "node").join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
     rest = placed.join(mixed, "key").join(nodes.select("node", "n", "sig"), "node").select("key", "node", "component", "n", "sig")
-    links = write_table(spark, _confirm(_rest_pairs(rest), sets), "dup-links")
+    links = write_table(spark, _confirm_tasks(_candidates(rest), sets), "dup-links")
     final = first
     if not links.isEmpty():
         final = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links), "dup-cc")
