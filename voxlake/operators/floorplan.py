@@ -174,7 +174,7 @@ def convex_hull(p: np.ndarray) -> np.ndarray:
     def half(points):
         out: list = []
         for q in points:
-            while len(out) > 1 and np.cross(out[-1] - out[-2], q - out[-1]) <= 0 if len(out) > 1 else False:
+            while len(out) > 1 and (out[-1] - out[-2])[0] * (q - out[-1])[1] - (out[-1] - out[-2])[1] * (q - out[-1])[0] <= 0:
                 out.pop()
             out.append(q)
         return out[:-1]
@@ -236,7 +236,7 @@ def simplify_ring(ring: np.ndarray, eps: float) -> np.ndarray:
             return [p[0]]
         a, d = p[0], p[-1] - p[0]
         size = np.linalg.norm(d)
-        far = np.abs(np.cross(d, p - a)) / size if size > 1e-12 else np.linalg.norm(p - a, axis=1)
+        far = np.abs(d[0] * (p - a)[:, 1] - d[1] * (p - a)[:, 0]) / size if size > 1e-12 else np.linalg.norm(p - a, axis=1)
         i = int(far.argmax())
         return keep(p[: i + 1]) + keep(p[i:]) if far[i] > eps else [a]
 

@@ -80,9 +80,9 @@ def deskew_kernel(t_off: np.ndarray, xyz: np.ndarray, stamp: float, imu_t: np.nd
 def apply_poses(points: DataFrame, poses: DataFrame) -> DataFrame:
     """points in the frame of poses(scan_id, r00..r22, tx, ty, tz); every scan must have its pose."""
     p = points.join(poses, "scan_id", "left")
-    have = F.when(F.col("r00").isNotNull(), F.lit(0.0)).otherwise(F.raise_error(F.lit("a scan has no pose")).cast("double"))
     r = [[F.col(f"r{i}{j}") for j in range(3)] for i in range(3)]
-    x, y, z = apply_matrix(r, ("x", "y", "z"), (F.col("tx") + have, F.col("ty"), F.col("tz")))
+    x, y, z = apply_matrix(r, ("x", "y", "z"), (F.col("tx"), F.col("ty"), F.col("tz")))
+    x = F.when(F.col("r00").isNull(), F.raise_error(F.lit("a scan has no pose")).cast("double")).otherwise(x)
     return p.withColumns({"_x": x, "_y": y, "_z": z}).select(*[F.col(f"_{c}").alias(c) if c in "xyz" else F.col(c) for c in points.columns])
 
 

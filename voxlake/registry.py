@@ -376,10 +376,10 @@ def axial_mean(spark, d):
 
 
 @query(PTS + """, s AS (SELECT point_id, x AS ax, y AS ay, z AS az, x + r AS bx, y AS by, z + 0.3 AS bz FROM pts), n AS (SELECT *, greatest(2, CAST(ceil(sqrt((bx - ax) ** 2 + (bz - az) ** 2) / 0.02) AS BIGINT) + 1) AS n FROM s), k AS (SELECT *, unnest(range(n)) AS k FROM n)
- SELECT point_id, k, round(ax * (1 - k / (n - 1)) + bx * (k / (n - 1)), 6) AS x, round(az * (1 - k / (n - 1)) + bz * (k / (n - 1)), 6) AS z FROM k""")
+ SELECT point_id, k, round(ax * (1 - k / (n - 1)) + bx * (k / (n - 1)), 6) + 0e0 AS x, round(az * (1 - k / (n - 1)) + bz * (k / (n - 1)), 6) + 0e0 AS z FROM k""")
 def wireframe_points(spark, d):
     s = points(spark, d).select("point_id", F.struct("x", "y", "z").alias("a"), F.struct((F.col("x") + F.col("r")).alias("x"), "y", (F.col("z") + 0.3).alias("z")).alias("b"))
-    return r6(layout.densify(s, 0.02, "point_id").select("point_id", "k", "x", "z"), "x", "z")
+    return layout.densify(s, 0.02, "point_id").select("point_id", "k", *[(F.round(c, 6) + 0.0).alias(c) for c in "xz"])
 
 
 @query(PTS + """, g(a, b, c) AS (SELECT a, b, c FROM (VALUES (-1), (1)) p(a), (VALUES (-1), (1)) q(b), (VALUES (-1), (1)) o(c)), k AS (SELECT point_id, round(x + cos(r) * a * 0.1 - sin(r) * b * 0.2, 6) AS x, round(y + sin(r) * a * 0.1 + cos(r) * b * 0.2, 6) AS y, round(z + c * 0.15, 6) AS z FROM pts, g)

@@ -76,5 +76,5 @@ def ply_files(points: DataFrame, key: str, columns=("x", "y", "z"), comments=())
 
 def has_comment(files: DataFrame, prefix: str) -> DataFrame:
     """path and whether a comment of the header starts with prefix: the mark of a cloud already processed."""
-    head = F.split(F.decode(F.substring("content", 1, 4096), "US-ASCII"), "end_header")[0]
+    head = F.split(F.decode(F.substring("content", 1, 4096), "ISO-8859-1"), "end_header")[0]
     return files.select("path", F.exists(F.split(head, "\n"), lambda x: x.startswith(f"comment {prefix}")).alias("marked"))
