@@ -30,7 +30,7 @@ BLOCK_WORDS, SHARD_SLOTS, MAX_EPOCHS = 64, 4096, 3
 #: Targets are worked out on the driver, one number a source.
 MAX_SOURCES = 100_000
 #: Documents of a source whose words are summed up in one window.
-DOCS_PER_BUCKET = 20_000
+DOCS_PER_BUCKET = 2_000
 
 
 def targets(sizes: list[int], weights: list[float], total: float | None = None, most: float = MAX_EPOCHS) -> list[float]:
