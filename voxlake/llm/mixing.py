@@ -167,7 +167,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, seed: int = 0) -> tuple[DataFrame, Dat
     cut = placed.where("size > 0").select("source_no", "start", "doc_id", "size", F.explode(F.sequence(F.floor(first), F.floor(last))).alias("block"))
     at = F.greatest(F.col("start"), F.col("block") * BLOCK_WORDS)
     cut = cut.withColumn("from_word", at - F.col("start")).withColumn("words", F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * BLOCK_WORDS) - at)
-    return placed, cut.join(taken, ["source_no", "block"])
+    # the planner can't tell how many slots a shard draws and would broadcast them
+    return placed, cut.join(taken.hint("merge"), ["source_no", "block"])
 
 
 def mixed_documents(docs: DataFrame, weights=WEIGHTS, seed: int = 0) -> DataFrame:
@@ -178,7 +179,7 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, seed: int = 0) -> DataFram
     per_doc = pieces.select("source_no", "start", "doc_id", "size", "from_word", "words", F.explode("epochs").alias("epoch")).groupBy("source_no", "start", "doc_id", "size", "epoch").agg(F.sum("words").alias("got"), F.array_sort(F.collect_list(F.struct("from_word", "words"))).alias("parts"))
     known, bases, _ = place(docs.withColumn("row_columns", F.struct(*docs.columns)).select("doc_id", "source", "text", "row_columns"), weights)
     placed = _with_start(known.withColumn("tie", F.xxhash64("text")), bases).where("size > 0").select(F.col("source_no").alias("s"), F.col("start").alias("at"), "text", "row_columns")
-    joined = per_doc.join(placed, (F.col("s") == F.col("source_no")) & (F.col("at") == F.col("start")))
+    joined = per_doc.hint("merge").join(placed, (F.col("s") == F.col("source_no")) & (F.col("at") == F.col("start")))
 
     def run(batches):
         import re
@@ -211,4 +212,4 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = pieces.groupBy(F.col("source_no").alias("s"), F.col("start").alias("at"), F.col("doc_id").alias("d")).agg(F.sum(F.col("words") * F.size("epochs")).alias("taken"))
     # start names a document that has words
     same = (F.col("source_no") == F.col("s")) & (F.col("start") == F.col("at")) & (F.col("size") > 0)
-    return documents.join(got, same, "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source")
+    return documents.join(got.hint("merge"), same, "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source")
