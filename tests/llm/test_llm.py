@@ -85,6 +85,14 @@ def test_same_rows_as_sql(spark, sf, name):
     assert sorted(str(tuple(r[c] for c in rel.columns)) for r in df.collect()) == sorted(map(str, rel.fetchall()))
 
 
+def test_search_in_blocks(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
+    whole = sorted(map(str, search.search(docs, docs.where("id % 20 = 0")).collect()))
+    monkeypatch.setattr(search, "SHARD_BYTES", 5000)
+    monkeypatch.setattr(search, "QUERY_BYTES", 700)
+    assert whole and sorted(map(str, search.search(docs, docs.where("id % 20 = 0")).collect())) == whole
+
+
 def test_tokens_equal_the_library():
     texts = pa.array([t for _, t, _, _ in documents()] + ["don't I'LL 12a3 ...!!\n\nhi", "a \n b\t", "x " * 3000])
     for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
