@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import extended, load
+from .common import extended, load, tidy
 from .shingles import _BYTE, mix
 
 UNKNOWN = "und"
@@ -34,7 +34,7 @@ DOCS_PER_LANGUAGE, SAMPLE_CHARS, MAX_LANGUAGES = 300, 20_000, 500
 TABLE_BITS, LEXICON, EPOCHS = 16, 4000, 4
 TABLE = 1 << TABLE_BITS
 SEGMENT = 128
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _IS_LETTER = np.zeros(256, bool)
 _IS_LETTER[97:123] = True
@@ -271,7 +271,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
 
     plain = docs.drop("lang_pred", "score")
-    return plain.mapInArrow(run, extended(plain.schema, "lang_pred string, score double"))
+    return plain.mapInArrow(tidy(run), extended(plain.schema, "lang_pred string, score double"))
 
 
 def keep_known(docs: DataFrame, least_score: float = 0.4) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, load, n_words, write_table
+from .common import WORD, load, n_words, tidy, write_table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 BLOCK_WORDS, SHARD_SLOTS, MAX_EPOCHS = 64, 4096, 3
@@ -151,7 +151,7 @@ def drawn_slots(spark: SparkSession, info: list[dict], seed: int = 0) -> DataFra
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard)), pa.array(np.full(n, k, np.int32)), pa.array(epoch.astype(np.int32)), pa.array(block)], names=["shard", "source_no", "epoch", "block"])
 
     n_parts = max(1, min(n_shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    return spark.range(0, n_shards, 1, n_parts).mapInArrow(run, "shard long, source_no int, epoch int, block long")
+    return spark.range(0, n_shards, 1, n_parts).mapInArrow(tidy(run), "shard long, source_no int, epoch int, block long")
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, seed: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -203,7 +203,7 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, seed: int = 0) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), b.column(b.schema.get_field_index("row_columns"))], names=["new_text", "row_columns"])
 
     schema = joined.select(F.lit("").alias("new_text"), "row_columns").schema
-    done = joined.select("text", "size", "got", "parts", "row_columns").mapInArrow(run, schema)
+    done = joined.select("text", "size", "got", "parts", "row_columns").mapInArrow(tidy(run), schema)
     return done.select(*[F.col("new_text").alias(c) if c == "text" else F.col("row_columns")[c].alias(c) for c in docs.columns])
 
 

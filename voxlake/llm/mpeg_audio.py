@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import extended, load
+from .common import extended, load, tidy
 
 BLOCK = 192
 # Bitrates in kbit/s by header index, for MPEG-1 Layers I to III and MPEG-2 Layer I and Layers II, III.
@@ -221,7 +221,7 @@ def store_texts(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([n for n, _ in made], pa.int64()), pa.array([write(p) for _, p in made], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, n_bytes long, media binary")
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(tidy(run), f"doc_id {kind}, n_bytes long, media binary")
 
 
 _READ = [
@@ -244,7 +244,7 @@ def analyse(media: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*b.schema.names, *(x[0] for x in _READ)])
 
     plain = media.drop(*(x[0] for x in _READ))
-    return plain.mapInArrow(run, extended(plain.schema, ", ".join(f"{name} {kind}" for name, kind, _ in _READ)))
+    return plain.mapInArrow(tidy(run), extended(plain.schema, ", ".join(f"{name} {kind}" for name, kind, _ in _READ)))
 
 
 def op4_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:

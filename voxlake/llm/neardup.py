@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, write_table
+from .common import load, tidy, write_table
 from .graph import components
 from .shingles import mix, shingle_sets
 
@@ -85,7 +85,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary())], names=["doc_id", "set_key", "n_shingles", "sig"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, set_key binary, n_shingles long, sig binary")
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(tidy(run), f"doc_id {kind}, set_key binary, n_shingles long, sig binary")
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
@@ -99,7 +99,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
                 flat = np.concatenate(sets).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(s, digest_size=16).digest() for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["set_key", "shingles"])
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, "set_key binary, shingles array<long>")
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(tidy(run), "set_key binary, shingles array<long>")
 
 
 def _keys(nodes: DataFrame) -> DataFrame:
@@ -110,7 +110,7 @@ def _keys(nodes: DataFrame) -> DataFrame:
                 keys = bucket_keys(_fixed(b.column(1).slice(i, 2000), "<u2", SYMBOLS)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(node[i : i + 2000], keys.shape[1]))], names=["key", "node"])
 
-    return nodes.select("node", "sig").mapInArrow(run, "key long, node long")
+    return nodes.select("node", "sig").mapInArrow(tidy(run), "key long, node long")
 
 
 def _within(pairs: DataFrame) -> DataFrame:
@@ -122,7 +122,7 @@ def _within(pairs: DataFrame) -> DataFrame:
                 far = (_fixed(b.column(2), "<u2", SYMBOLS) != _fixed(b.column(3), "<u2", SYMBOLS)).sum(1)
                 yield b.filter(pa.array(far <= DISTANCE)).select(["a", "b"])
 
-    return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(tidy(run), "a long, b long")
 
 
 def _sizes_allow(a: str, b: str):
@@ -220,7 +220,7 @@ def _candidates(members: DataFrame) -> DataFrame:
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], names=["task", "node", "partners"])
 
-    return dealt.mapInArrow(run, "task long, node long, partners binary")
+    return dealt.mapInArrow(tidy(run), "task long, node long, partners binary")
 
 
 #: Pairs of a task up to which sets are met one by one; columns of a table of memberships beyond.
@@ -280,7 +280,7 @@ def _confirm_tasks(tasks: DataFrame, sets: DataFrame) -> DataFrame:
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], names=["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(tidy(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

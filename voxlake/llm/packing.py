@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import load, write_table
+from .common import load, tidy, write_table
 from .tokens import encoder
 
 WINDOW = 4096
@@ -57,7 +57,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("source").cast("string"), F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, source string, part long, local long, n_tokens long, width int, ids binary")
+    return docs.select("doc_id", F.col("source").cast("string"), F.col("text").cast("string")).mapInArrow(tidy(run), f"doc_id {kind}, source string, part long, local long, n_tokens long, width int, ids binary")
 
 
 def served(w: np.ndarray, totals: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -173,7 +173,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = WINDOW)
     place = bases.select(F.col("part").alias("in_part"), F.col("source").alias("in_source"), "base")
     placed = tokens.join(place, (F.col("part") == F.col("in_part")) & F.col("source").eqNullSafe(F.col("in_source")))
     return placed.select("doc_id", "source", "base", "local", "n_tokens", "width", "ids").mapInArrow(
-        run, f"doc_id {kind}, source string, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
+        tidy(run), f"doc_id {kind}, source string, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
     )
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import extended, load
+from .common import extended, load, tidy
 
 # The patterns of the scan.
 KINDS = ("assign", "access", "hex", "learned")
@@ -219,7 +219,7 @@ def scan(docs: DataFrame, redact: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, kind)], names=[*b.schema.names, "spans"])
 
     plain = docs.drop("spans").withColumn("text", F.col("text").cast("string"))
-    return plain.mapInArrow(run, extended(plain.schema, "spans array<struct<start:long,end:long,kind:string>>"))
+    return plain.mapInArrow(tidy(run), extended(plain.schema, "spans array<struct<start:long,end:long,kind:string>>"))
 
 
 def redacted(docs: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import load, shared_dir, write_table
+from .common import load, shared_dir, tidy, write_table
 from .tokens import encoder
 
 #: Ids that the rolling hash covers; bits that must be zero at a cut (1 cut in 1024 ids); bounds of a chunk.
@@ -145,7 +145,7 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2) ->
             if rows[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.bool_()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary()), pa.array(rows[3], b.schema.field(0).type), pa.array(rows[4], pa.int64())], names=names)
 
-    parts = docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"is_doc boolean, key binary, data binary, doc_id {kind}, n long")
+    parts = docs.select("doc_id", F.col("text").cast("string")).mapInArrow(tidy(run), f"is_doc boolean, key binary, data binary, doc_id {kind}, n long")
     once = parts.groupBy("is_doc", "key").agg(F.first("data").alias("data"), F.first("doc_id").alias("doc_id"), F.first("n").alias("n"))
     once.write.option("compression", "zstd").partitionBy("is_doc").parquet(f"{path}/parts")
 
@@ -206,13 +206,13 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(crc.astype(np.int64))], names=["start", "n_tokens", "n", "crc"])
 
     manifest = _manifest(spark, path)
-    crcs = _chunks(spark, path).select("key", "data", "n").mapInArrow(chunk_crc, "key binary, n long, crc long")
+    crcs = _chunks(spark, path).select("key", "data", "n").mapInArrow(tidy(chunk_crc), "key binary, n long, crc long")
     linked = _links(manifest).join(crcs, "key", "left")
     linked = linked.withColumn("n", F.coalesce("n", F.raise_error(F.lit("a chunk is missing")).cast("long")))
     # start names a document: every document has an id at least
     up_to = Window.partitionBy("start").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     rest = linked.withColumn("after", (F.col("n_tokens") - F.sum("n").over(up_to)) * 4)
-    carried = rest.select("start", "n_tokens", "n", "crc", "after").mapInArrow(carry, "start long, n_tokens long, n long, crc long")
+    carried = rest.select("start", "n_tokens", "n", "crc", "after").mapInArrow(tidy(carry), "start long, n_tokens long, n long, crc long")
     whole = carried.groupBy("start", "n_tokens").agg(F.bit_xor("crc").alias("ids_crc32"), F.sum("n").alias("found"), F.count(F.lit(1)).alias("n_chunks"))
     whole = whole.select("start", F.when(F.col("found") == F.col("n_tokens"), F.col("ids_crc32")).otherwise(F.raise_error(F.lit("a document's length differs")).cast("long")).alias("ids_crc32"), "n_chunks")
     return manifest.select("doc_id", "start", "n_tokens").join(whole, "start").select("doc_id", "start", "n_tokens", "ids_crc32", "n_chunks")
