@@ -262,6 +262,24 @@ def test_secrets(spark, sf):
     assert secret_scan.redact_text("a password=abcdefgh1 b", [(2, 0, 20)]) == "a [assign] b"
 
 
+def test_secrets_inside_runs():
+    models = secret_scan.automata()
+    for name, strings in secret_scan.labelled_credentials(seed=9, n=60).items():
+        alone = [s for s in strings if any(a == 4 and b == 4 + len(s) and k in (1, 3) for a, k, b in secret_scan.scan_text(f"see {s} there", models))]
+        assert len(alone) >= 40
+        for form in ("GITHUB_PAT={}", "https://host/{}", "https://host/x?key={}&b=1", "STRIPE={}/next", "a+{}", "x.{}", "my-{}", "my_{}", "3D{}", "bearer={}."):
+            for s in alone:
+                text = form.format(s)
+                at = text.index(s)
+                found = secret_scan.scan_text(text, models)
+                assert any(a <= at and at + len(s) <= b and k in (1, 3) for a, k, b in found), (name, text)
+                assert s not in secret_scan.redact_text(text, found)
+    two = ["ghp_" + "aB3dE6gH9j" * 3 + "kL2mN5", "sk_live_" + "Zy8Xw7Vu6Ts5Rq4Po3Nm2Lk1"]
+    text = "/".join(two)
+    assert [text[a:b] for a, _, b in secret_scan.scan_text(text, models)] == two
+    assert len(secret_scan.scan_text("A" * 20_000, models)) == 1
+
+
 def test_language(spark, sf):
     rows = QUERIES["op6_crf_language"](spark, sf).collect()
     assert len(rows) == len(documents()) and all(0 <= r.score <= 1 for r in rows)

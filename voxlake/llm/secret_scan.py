@@ -2,9 +2,9 @@
 
 Labelled credentials of each format are put into a prefix tree with counts; states whose outgoing and ending
 frequencies are compatible under the Hoeffding bound, down through their subtrees, are merged, which leaves
-one probabilistic automaton a format. Every candidate string of every text is scored under all automata: the
-bits by which the best format is likelier than letters drawn evenly. Candidates beyond a threshold are added
-to the spans that the patterns find.
+one probabilistic automaton a format. Candidates are the parts, from any letter on, of every run of credential
+letters of every text. They are scored under all automata: the bits by which the best format is likelier than
+letters drawn evenly. Candidates beyond a threshold are added to the spans that the patterns find.
 
 Spans are whole matches in code points, end exclusive. Defined cases: a null text is empty; repeated rows get
 equal results; an empty table gives no rows; other columns are kept.
@@ -33,10 +33,12 @@ _ASSIGN = re.compile(
 )
 _ACCESS = re.compile("AKIA[A-Z0-9]+")
 _HEX = re.compile("[0-9a-f]{32,}")
-_CANDIDATE = re.compile("[A-Za-z0-9+/_.=-]{16,}")
+_RUN = re.compile("[A-Za-z0-9+/_.=-]{16,}")
 
 #: Significance of a merge, labelled credentials a format, bits that a candidate needs in all and per letter.
 ALPHA, EXAMPLES, LEAST_BITS, BITS_A_LETTER = 0.05, 150, 14.0, 0.2
+#: Letters of a candidate at least; bits behind an even draw at which one is given up.
+LEAST_LETTERS, BEHIND = 16, -12
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
 _EVEN = math.log2(len(_ALPHABET))
 
@@ -159,12 +161,67 @@ class Automaton:
             if hit is None:
                 return -math.inf
             total += hit[0]
-            if total < -12:
+            if total < BEHIND:
                 return -math.inf
             q = hit[1]
         return total
 
 
+class Scanner:
+    """All automata as one, run over a text's runs from every letter at once."""
+
+    def __init__(self, models: tuple[Automaton, ...]):
+        self.step: list[dict[str, tuple[float, int]]] = []
+        self.first: dict[str, list[tuple[float, int]]] = {c: [] for c in _ALPHABET}
+        for x in models:
+            number = {q: len(self.step) + k for k, q in enumerate(x.kept)}
+            self.step += [{c: (bits, number[r]) for c, (bits, r) in x.step[q].items()} for q in x.kept]
+            for c, hit in self.step[number[0]].items():
+                self.first[c].append(hit)
+
+    def candidates(self, run: str) -> list[tuple[int, int]]:
+        """(start, end) of the parts of a run beyond the thresholds that don't overlap, those of most bits first.
+        Of the starts that meet in a state, whose further bits are the same, the one with most bits and the one
+        with most beyond BITS_A_LETTER are followed, so that the work grows with the run's length only. A part
+        that came beyond LEAST_BITS ends at the last letter up to which it is beyond BITS_A_LETTER; no format
+        ends in + / . or =."""
+        step, first, per = self.step, self.first, BITS_A_LETTER
+        # state -> paths (bits, bits + BITS_A_LETTER * start, start)
+        active: dict[int, tuple] = {}
+        found: dict[int, tuple[float, int]] = {}
+        for i, c in enumerate(run):
+            after: dict[int, tuple] = {}
+            moves = [(bits + hit[0], start, hit[1]) for q, paths in active.items() if (hit := step[q].get(c)) for bits, _, start in paths]
+            moves += [(bits, i, q) for bits, q in first[c]]
+            for bits, start, q in moves:
+                if bits < BEHIND:
+                    continue
+                one = (bits, bits + per * start, start)
+                held = after.get(q)
+                if held is None:
+                    after[q] = (one,)
+                else:
+                    most = max(*held, one)
+                    dense = max(*held, one, key=lambda x: x[1:])
+                    after[q] = (most,) if most[2] == dense[2] else (most, dense)
+            active = after
+            for paths in active.values():
+                for bits, _, start in paths:
+                    n = i + 1 - start
+                    if n >= LEAST_LETTERS and bits >= per * n and (bits >= LEAST_BITS or start in found):
+                        found[start] = (max(bits, found[start][0]) if start in found else bits, i + 1)
+        out: list[tuple[int, int]] = []
+        for _, start, end in sorted((-bits, start, end) for start, (bits, end) in found.items()):
+            if not any(a < end and start < b for a, b in out):
+                out.append((start, start + len(run[start:end].rstrip("+/.="))))
+        return out
+
+
+@lru_cache(maxsize=2)
+def _scanner(models: tuple[Automaton, ...]) -> Scanner:
+    return Scanner(models)
+
+
 @lru_cache(maxsize=2)
 def automata(seed: int = 0) -> tuple[Automaton, ...]:
     return tuple(Automaton(strings) for strings in labelled_credentials(seed).values())
@@ -180,13 +237,12 @@ def scan_text(text: str, models: tuple[Automaton, ...]) -> list[tuple[int, int,
         found += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 16]
     found += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
     base = sorted(found)
-    for m in _CANDIDATE.finditer(text):
-        s = m.group().strip("+/_.=-")
-        best = max([x.bits(s) for x in models], default=-math.inf)
-        if best >= LEAST_BITS and best >= BITS_A_LETTER * len(s):
-            start = m.start() + m.group().index(s)
-            if not any(a < start + len(s) and start < b for a, _, b in base):
-                found.append((start, 3, start + len(s)))
+    scanner = _scanner(models)
+    for m in _RUN.finditer(text):
+        for start, end in scanner.candidates(m.group()):
+            start, end = m.start() + start, m.start() + end
+            if not any(a < end and start < b for a, _, b in base):
+                found.append((start, 3, end))
     return sorted(found)
 
 
