@@ -101,6 +101,17 @@ def test_tokens_equal_the_library():
         assert list(e.encode(texts)) == want
 
 
+def test_added_tokens_equal_the_library():
+    from tokenizers import Tokenizer
+
+    texts = ["hello <|endoftext|> you", "a<|startoftext|>b", "x\n<|endoftext|>\n\n y", "<|endoftext|>", "<|ENDOFTEXT|> <|endof text|>", "日<|endoftext|>é", "plain", None]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        e, fresh = tokens.Encoder(public_tokenizers.path(name)), Tokenizer.from_file(public_tokenizers.path(name))
+        want = [np.asarray(fresh.encode(t or "", add_special_tokens=False).ids, e.dtype).tobytes() for t in texts]
+        assert list(e.encode(pa.array(texts))) == want
+    assert fresh.encode(texts[0], add_special_tokens=False).ids == [31373, 220, 50256, 345]
+
+
 def test_mixing(spark, sf):
     rows = QUERIES["op1_source_mix"](spark, sf).collect()
     assert len(rows) == len(documents())

@@ -2,8 +2,9 @@
 
 A column is cut at white space into chunks, which are dictionary-encoded: each distinct chunk is encoded
 once and its ids are gathered back. Chunks of plain characters (ASCII and Latin-1) are pre-tokenised here
-and only their distinct pieces meet the BPE model; all other chunks, and texts with runs of white space
-that a cut would disturb, go through the library's full encode call. Ids equal those of that call.
+and only their distinct pieces meet the BPE model; all other chunks, and whole texts with runs of white space
+that a cut would disturb or with an added token, go through the library's full encode call. Ids equal those
+of that call.
 """
 
 from __future__ import annotations
@@ -54,7 +55,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tk = Tokenizer.from_file(path)
-        self.tk.encode_special_tokens = True
+        added = [re.escape(t.content) for t in self.tk.get_added_tokens_decoder().values()]
+        #: Finds every text in which the library may match an added token, whatever its normalizer does to case.
+        self.added = f"(?i){'|'.join(added)}" if added else None
         self.model = self.tk.model
         self.dtype = np.dtype("<u2") if self.tk.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         with open(path) as f:
@@ -106,6 +109,7 @@ class Encoder:
     def _slice(self, texts: pa.Array) -> list[bytes]:
         if self.kind is None:
             return self._full(texts.to_pylist())
+        raw = texts
         if self.kind == "word":
             texts = pc.replace_substring(texts, "\n", " ")
         lists = pc.split_pattern(texts, " ")
@@ -116,6 +120,8 @@ class Encoder:
         codes = coded.indices.to_numpy()
         distinct = coded.dictionary.to_pylist()
         whole = np.zeros(len(texts), bool)
+        if self.added:
+            whole |= pc.match_substring_regex(raw, self.added).to_numpy(zero_copy_only=False)
         if self.kind == "byte":
             # A chunk but the first of a text carries the space before it.
             bad = np.fromiter((not w or w[0].isspace() or w[-1].isspace() for w in distinct), bool, len(distinct))
@@ -124,7 +130,7 @@ class Encoder:
             lookup[firsts] = np.arange(len(firsts)) + len(distinct)
             hit = bad[codes]
             if hit.any():
-                whole = np.add.reduceat(hit.astype(np.int64), offsets[:-1]) > 0
+                whole |= np.add.reduceat(hit.astype(np.int64), offsets[:-1]) > 0
             ids = self._chunks([" " + w if not b else "" for w, b in zip(distinct, bad)] + [distinct[k] if not bad[k] else "" for k in firsts])
             codes = codes.copy()
             codes64 = codes.astype(np.int64)
@@ -141,7 +147,7 @@ class Encoder:
         out = [bytes(buf[a:b]) for a, b in zip(cut, cut[1:])]
         again = np.flatnonzero(whole)
         if len(again):
-            for k, one in zip(again.tolist(), self._full(texts.take(pa.array(again)).to_pylist())):
+            for k, one in zip(again.tolist(), self._full(raw.take(pa.array(again)).to_pylist())):
                 out[k] = one
         return out
 
