@@ -42,7 +42,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     release(spark)
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json")).drop("ids")
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("secrets", secrets), ("mixture", mixture), ("packing", packing)]

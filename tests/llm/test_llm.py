@@ -418,3 +418,23 @@ def test_pipeline(spark, tmp_path):
     mixed = spark.read.parquet(f"{tmp_path}/mixture").collect()
     assert sum(r.length for r in docs.collect()) == sum(len(tk.encode(r.text, add_special_tokens=False).ids) + 1 for r in mixed)
     assert {r.doc_id for r in docs.collect()} == {r.doc_id for r in mixed}
+
+
+def test_pipeline_keeps_packed_tokens(spark, sf):
+    docs = spark.createDataFrame([(7, "one two three", "s0"), (7, "one two", "s0"), (7, "three", None), (8, "four five <|endoftext|> six", "s1"), (9, "", "s1")] + [(i, f"word {i} " * 400, f"s{i % 3}") for i in range(10, 40)], "doc_id long, text string, source string")
+    tk = tokens.Encoder(public_tokenizers.path("word_bpe_49k.json")).tk
+    rows = corpus_pipeline.packing(spark, docs, sf).collect()
+    by_row, by_sequence = defaultdict(list), defaultdict(list)
+    for r in rows:
+        by_row[r.doc_id, r.source, r.queued_at].append(r)
+        by_sequence[r.sequence_id].append(r)
+    got = []
+    for (doc_id, source, _), own in by_row.items():
+        own.sort(key=lambda r: r.start)
+        assert [r.start for r in own] == [0, *np.cumsum([r.length for r in own])[:-1]]
+        got.append((doc_id, source, tuple(np.frombuffer(b"".join(bytes(r.ids) for r in own), "<u4").tolist())))
+    want = [(r.doc_id, r.source, (*tk.encode(r.text, add_special_tokens=False).ids, 2)) for r in docs.collect()]
+    assert Counter(got) == Counter(want)
+    for own in by_sequence.values():
+        held = b"".join(bytes(r.ids) for r in sorted(own, key=lambda r: r.offset))
+        assert len(held) == 4 * sum(r.length for r in own)

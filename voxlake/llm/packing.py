@@ -132,8 +132,10 @@ def cut_pieces(source: np.ndarray, pos: np.ndarray, n: np.ndarray, totals: np.nd
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = WINDOW) -> DataFrame:
-    """docs(doc_id, source, text) -> a row per piece: doc_id, source, start, length, doc_tokens, sequence_id,
-    offset, ids (little-endian unsigned 32-bit). Sequences are whole windows or, at the end, powers of two."""
+    """docs(doc_id, source, text) -> a row per piece: doc_id, source, queued_at, start, length, doc_tokens,
+    sequence_id, offset, ids (little-endian unsigned 32-bit). queued_at is the place of the row's first token in
+    its source's queue; with source it names the row, also among rows of one doc_id. Sequences are whole windows
+    or, at the end, powers of two."""
     spark = docs.sparkSession
     tokens = write_table(spark, encode_documents(docs, tokenizer, end_id), "pack-ids")
     sums = tokens.groupBy("part", "source").agg(F.sum("n_tokens").alias("n"))
@@ -165,15 +167,15 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = WINDOW)
                     ids.append(wide[4 * o : 4 * (o + k)])
                 at = pa.array(doc[x:y])
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(at), b.column(1).take(at), pa.array(start[x:y]), pa.array(length[x:y]), b.column(4).take(at), pa.array(seq[x:y]), pa.array(offset[x:y]), pa.array(ids, pa.binary())],
-                    names=["doc_id", "source", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"],
+                    [b.column(0).take(at), b.column(1).take(at), pa.array(pos[doc[x:y]]), pa.array(start[x:y]), pa.array(length[x:y]), b.column(4).take(at), pa.array(seq[x:y]), pa.array(offset[x:y]), pa.array(ids, pa.binary())],
+                    names=["doc_id", "source", "queued_at", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     place = bases.select(F.col("part").alias("in_part"), F.col("source").alias("in_source"), "base")
     placed = tokens.join(place, (F.col("part") == F.col("in_part")) & F.col("source").eqNullSafe(F.col("in_source")))
     return placed.select("doc_id", "source", "base", "local", "n_tokens", "width", "ids").mapInArrow(
-        tidy(run), f"doc_id {kind}, source string, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
+        tidy(run), f"doc_id {kind}, source string, queued_at long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
     )
 
 
