@@ -108,6 +108,21 @@ def test_level_rotation_is_orthonormal():
         assert np.allclose(r @ r.T, np.eye(3)) and np.allclose(r @ n, [0, 0, 1]) and np.isclose(np.linalg.det(r), 1)
 
 
+def test_outliers_of_a_sparse_cloud(spark):
+    rng = np.random.default_rng(4)
+    p = np.concatenate([rng.normal(size=(300, 3)) * 0.05, rng.uniform(-1, 1, (60, 3)), [[9.0, 9, 9], [9, 9, 9], [-7, 0, 0]]])
+    far = np.sort(np.linalg.norm(p[:, None] - p[None], axis=2), 1)[:, :10].mean(1)
+    keep = far <= far.mean() + 1.5 * far.std(ddof=1)
+    out = {r.point_id: r.mean_d for r in grid.statistical_outliers(frame(spark, p), 0.03, 10, 1.5, widen=True).collect()}
+    assert set(out) == set(np.flatnonzero(keep)) and not {360, 361, 362} & set(out)
+    assert all(abs(out[i] - far[i]) < 1e-9 for i in out)
+    few = [[0.0, 0, 0], [1, 0, 0], [0, 3, 0]]
+    rows = frame(spark, few).unionByName(spark.createDataFrame([(3, None, 0.0, 0.0), (4, math.nan, 0.0, 0.0)], "point_id long, x double, y double, z double"))
+    got = {r.point_id: r.mean_d for r in grid.nearest_means(rows, 0.03, 10).collect()}
+    assert set(got) == {0, 1, 2} and abs(got[0] - 4 / 3) < 1e-9
+    assert grid.nearest_means(rows.where("point_id > 2"), 0.03, 10).count() == 0
+
+
 def test_oriented_box_and_hull(spark):
     rng = np.random.default_rng(1)
     p = rng.uniform(-0.5, 0.5, (400, 3)) * [2.0, 1.0, 0.8]

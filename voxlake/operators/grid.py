@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,10 +73,39 @@ def idw_colors(gray: DataFrame, colored: DataFrame, radius: float, k: int = 8, l
     return near.groupBy("gray_id").agg(blend("r"), blend("g"), blend("b"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
 
 
-def statistical_outliers(points: DataFrame, radius: float, k: int, ratio: float) -> DataFrame:
-    """Points whose mean distance to their k nearest (themselves counted) within radius is at most the mean of all
-    such means plus ratio standard deviations."""
-    other = points.select(F.col("point_id").alias("other_id"), "x", "y", "z")
-    mean = knn(radius_pairs(points, other, radius, "point_id", "other_id"), "point_id", "other_id", k).groupBy("point_id").agg(F.avg(F.sqrt("d2")).alias("mean_d"))
+def nearest_means(points: DataFrame, start: float, k: int) -> DataFrame:
+    """point_id, mean_d: the mean distance of each point to its k nearest (itself counted; all where there are fewer).
+    Points with fewer than k within the radius are searched again within twice the radius, from start on, until the k
+    are proven or the radius holds the whole cloud. Points without finite coordinates are left out."""
+    # stored, as each search depends on the one before
+    stored = lambda df: df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+    points = stored(points.where(" AND ".join(f"abs({c}) < double('infinity')" for c in "xyz")).select("point_id", "x", "y", "z"))
+    e = points.agg(*[(F.max(c) - F.min(c)).alias(c) for c in "xyz"]).first()
+    widest = sum(v * v for v in e) ** 0.5 * (1 + 1e-9) if e.x is not None else 0.0
+    other = points.withColumnRenamed("point_id", "other_id")
+    done, rest, radius = [], points, start
+    while True:
+        near = knn(radius_pairs(rest, other, radius, "point_id", "other_id"), "point_id", "other_id", k)
+        near = stored(near.groupBy("point_id").agg(F.avg(F.sqrt("d2")).alias("mean_d"), F.count(F.lit(1)).alias("n")))
+        if radius >= widest:
+            done.append(near)
+            break
+        done.append(near.where(F.col("n") >= k))
+        few = near.where(F.col("n") < k)
+        if few.isEmpty():
+            break
+        rest, radius = points.join(few.select("point_id"), "point_id", "left_semi"), 2 * radius
+    return reduce(DataFrame.unionByName, done).select("point_id", "mean_d")
+
+
+def statistical_outliers(points: DataFrame, radius: float, k: int, ratio: float, widen: bool = False) -> DataFrame:
+    """Points whose mean distance to their k nearest (themselves counted) is at most the mean of all such means plus
+    ratio standard deviations. With widen, radius is where the search for the k nearest starts; else only points
+    within radius are neighbours, and a point with none passes."""
+    if widen:
+        mean = nearest_means(points, radius, k)
+    else:
+        other = points.select(F.col("point_id").alias("other_id"), "x", "y", "z")
+        mean = knn(radius_pairs(points, other, radius, "point_id", "other_id"), "point_id", "other_id", k).groupBy("point_id").agg(F.avg(F.sqrt("d2")).alias("mean_d"))
     all_ = mean.agg((F.avg("mean_d") + ratio * F.stddev_samp("mean_d")).alias("most"))
     return mean.join(F.broadcast(all_)).where("mean_d <= most").select("point_id", "mean_d")  # one row

@@ -1,5 +1,5 @@
-"""The map plan: colour from raw positions, then deskew, then pose, then voxels, outliers, levelling; one lazy plan up
-to the two scalars of levelling."""
+"""The map plan: colour from raw positions, then deskew, then pose, then voxels, outliers, levelling; one lazy plan but
+for the widening search of outliers and the two scalars of levelling."""
 
 from __future__ import annotations
 
@@ -21,7 +21,7 @@ def build_map(points: DataFrame, imu: DataFrame, poses: DataFrame, images: DataF
         points = points.withColumns({"has_color": F.lit(False), **{c: F.lit(grid.GRAY) for c in "rgb"}})
     world = motion.apply_poses(motion.deskew(points, imu), poses)
     cloud = grid.voxel_color_mean(world, voxel).withColumn("point_id", grid.packed(F.col("vx"), F.col("vy"), F.col("vz"))).drop("vx", "vy", "vz", "n")
-    cloud = cloud.join(grid.statistical_outliers(cloud.select("point_id", "x", "y", "z"), 3 * voxel, neighbours, ratio).select("point_id"), "point_id", "left_semi")
+    cloud = cloud.join(grid.statistical_outliers(cloud.select("point_id", "x", "y", "z"), 3 * voxel, neighbours, ratio, widen=True).select("point_id"), "point_id", "left_semi")
     if level and (floor := planes.detect_floor(cloud)) is not None:
         cloud = planes.level(cloud, floor[0])
     return cloud
