@@ -100,6 +100,18 @@ def test_room_and_floor(spark):
     assert abs(levelled) < 0.05
 
 
+def test_small_plane_among_clutter(spark):
+    p = np.random.default_rng(3).uniform(-2, 2, (3000, 3))
+    p[:450, 2] = 0.5
+    cloud = frame(spark, p).cache()
+    for seed in (3, 4):
+        n, _, centre, k = planes.detect_plane(cloud, 0.02, seed=seed)
+        assert abs(n[2]) > 0.999 and abs(centre[2] - 0.5) < 0.01 and k >= 450
+    some = [(0.0, 0.0, 1.0, -0.5), (1.0, 0.0, 0.0, 9.0), (0.6, 0.0, 0.8, 0.1)]
+    want = {r.plane: r.votes for r in planes.hypothesis_votes(cloud, some, 0.02).collect()}
+    assert {r.plane: r.votes for r in planes.many_votes(cloud, some, 0.02).collect()} == want
+
+
 def test_level_rotation_is_orthonormal():
     from voxlake.functions.linalg import arc_to_z
 

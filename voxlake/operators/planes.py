@@ -24,7 +24,24 @@ def hypothesis_votes(points: DataFrame, planes: list[tuple[float, float, float,
     return votes.select(F.inline(F.array(*[F.struct(F.lit(k).alias("plane"), F.col(str(k)).alias("votes")) for k in range(len(planes))])))
 
 
-def detect_plane(points: DataFrame, band: float, hypotheses: int = 200, seed: int = 0, sample: int = 2000):
+def many_votes(points: DataFrame, planes: list[tuple[float, float, float, float]], band: float) -> DataFrame:
+    """Inliers of each plane as hypothesis_votes, for any number of planes: a matrix product a block of points."""
+    normal, offset = np.array([p[:3] for p in planes], float).T, np.array([p[3] for p in planes], float)
+
+    def run(batches):
+        import pyarrow as pa
+
+        votes = np.zeros(len(offset), np.int64)
+        for b in batches:
+            p = np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in range(3)], 1).astype(float)
+            for i in range(0, len(p), 1024):
+                votes += (np.abs(p[i : i + 1024] @ normal + offset) < band).sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(votes), dtype=np.int32)), pa.array(votes)], names=["plane", "votes"])
+
+    return points.select("x", "y", "z").mapInArrow(run, "plane int, votes long").groupBy("plane").agg(F.sum("votes").alias("votes"))
+
+
+def detect_plane(points: DataFrame, band: float, hypotheses: int = 1000, seed: int = 0, sample: int = 2000):
     """The plane with most inliers among seeded three-point hypotheses from a bounded sample, refitted on its
     inliers by their moments: (unit normal, d, centroid, inliers), or None for under 3 points."""
     total = points.count()
@@ -42,7 +59,7 @@ def detect_plane(points: DataFrame, band: float, hypotheses: int = 200, seed: in
             planes.append((*map(float, n), float(-n @ a)))
     if not planes:
         return None
-    best = hypothesis_votes(points, planes, band).orderBy(F.col("votes").desc(), "plane").first()
+    best = many_votes(points, planes, band).orderBy(F.col("votes").desc(), "plane").first()
     n, d = planes[best.plane][:3], planes[best.plane][3]
     inner = points.where(F.abs(plane_distance(n, d)) < band)
     pairs = [(a, b) for i, a in enumerate("xyz") for b in "xyz"[i:]]
