@@ -305,6 +305,18 @@ def test_language(spark, sf):
             assert r.lang_pred == lang
 
 
+def test_texts_of_mixed_languages_stay(spark):
+    rng = np.random.default_rng(6)
+    vocab = {x: ["".join(rng.choice(list(letters), 6)) for _ in range(40)] for x, letters in (("aa", "abcdef"), ("bb", "ghijkl"), ("cc", "mnopqr"), ("dd", "stuvwx"))}
+    rows = [(4 * i + k, " ".join(rng.choice(words, 30)), x) for i in range(40) for k, (x, words) in enumerate(vocab.items())]
+    rows += [(1000, " ".join(w for x in ("aa", "bb", "cc") for w in rng.choice(vocab[x], 30)), "aa"), (1001, "123 ...", "aa")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    mixed = langid.identify(docs, langid.fit(docs)).where("doc_id = 1000").first()
+    assert mixed.score < 0.4 < mixed.confidence
+    kept = {r.doc_id for r in langid.keep_known(docs).collect()}
+    assert kept == {i for i, _, _ in rows} - {1001}
+
+
 def test_language_recursion_is_exact():
     rng = np.random.default_rng(1)
     n, k = 700, 3

@@ -210,7 +210,8 @@ def train(texts: list[str], labels: list[str], seed: int = 0) -> Model:
 
 
 def label_texts(model: Model, texts: pa.Array):
-    """Language and score of each text; null for texts without a letter."""
+    """Language, score and mean confidence of the words, that of each in its own likeliest language, of each text;
+    null for texts without a letter."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     has_letter = pc.match_substring_regex(texts, r"\p{L}").to_pylist()
     total = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
@@ -223,13 +224,15 @@ def label_texts(model: Model, texts: pa.Array):
             post = forward_backward(model.emissions(w), w.is_first, model.step)[3]
             sums = np.concatenate([np.zeros((1, post.shape[1])), np.cumsum(post, 0)])
             share = sums[w.doc_edges[1:]] - sums[w.doc_edges[:-1]]
+            sure = np.concatenate([[0.0], np.cumsum(post.max(1))])
+            sure = sure[w.doc_edges[1:]] - sure[w.doc_edges[:-1]]
         else:
-            share = np.zeros((to - at, len(model.langs)))
+            share, sure = np.zeros((to - at, len(model.langs))), np.zeros(to - at)
         n = share.sum(1)
         for i in range(to - at):
             if has_letter[at + i] and n[i] > 0:
                 j = int(share[i].argmax())
-                yield model.langs[j], min(1.0, max(0.0, float(share[i, j] / n[i])))
+                yield model.langs[j], min(1.0, max(0.0, float(share[i, j] / n[i]))), min(1.0, max(0.0, float(sure[i] / n[i])))
             else:
                 yield None
         at = to
@@ -258,26 +261,26 @@ def fit(docs: DataFrame, seed: int = 0) -> Model | None:
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs(doc_id, text, ...) -> all columns, lang_pred, score."""
+    """docs(doc_id, text, ...) -> all columns, lang_pred, score, confidence."""
     if model is None:
-        return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
+        return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "confidence": F.lit(0.0)})
     held = docs.sparkSession.sparkContext.broadcast(model)  # TABLE rows and LEXICON words at most
 
     def run(batches):
         for b in batches:
             k = b.schema.get_field_index("text")
             found = list(label_texts(held.value, b.column(k)))
-            lang, score = [x[0] if x else UNKNOWN for x in found], [x[1] if x else 0.0 for x in found]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
+            lang, score, sure = [x[0] if x else UNKNOWN for x in found], [x[1] if x else 0.0 for x in found], [x[2] if x else 0.0 for x in found]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(sure, pa.float64())], names=[*b.schema.names, "lang_pred", "score", "confidence"])
 
-    plain = docs.drop("lang_pred", "score")
-    return plain.mapInArrow(tidy(run), extended(plain.schema, "lang_pred string, score double"))
+    plain = docs.drop("lang_pred", "score", "confidence")
+    return plain.mapInArrow(tidy(run), extended(plain.schema, "lang_pred string, score double, confidence double"))
 
 
-def keep_known(docs: DataFrame, least_score: float = 0.4) -> DataFrame:
-    """docs without those whose language can't be told; all columns stay."""
+def keep_known(docs: DataFrame, least_confidence: float = 0.4) -> DataFrame:
+    """docs without those whose words' languages can't be told; texts that mix languages stay, and all columns."""
     found = identify(docs, fit(docs))
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)).select(*docs.columns)
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("confidence") >= least_confidence)).select(*docs.columns)
 
 
 def op6_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
