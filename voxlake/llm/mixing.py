@@ -1,36 +1,41 @@
 """Mixing sources to target weights in fixed-length blocks.
 
 The words of each source's documents form one stream, cut into blocks of BLOCK_WORDS. The mix has as many
-slots as its targets have blocks, in shards of SHARD_SLOTS. A shard's source counts are drawn multinomially,
-on the condition that all shards together hold each source's share: the slots are split in halves again and
-again, and a half's counts are drawn from the whole's without replacement, from seeds of the half's place, so
-any shard finds its counts by itself in a number of draws that grows with the logarithm of the shards. A
-source's slots are mapped through pseudorandom permutations of its block indices, a new one each time all its
-blocks are used up, and blocks are joined to the slots by (source, index).
+slots as its targets have blocks, in shards of SHARD_SLOTS, and STRATUM shards form a stratum. A stratum's source
+counts are its part of the targets, apportioned to whole slots; inside it a shard's source counts are drawn
+multinomially on the condition that the stratum's shards together hold these counts: the stratum's slots are split in
+halves again and again, and a half's counts are drawn from the whole's without replacement, from seeds of the half's
+place, so any shard finds its counts by itself in a few draws, as many for a mix of any size. A source's slots are
+mapped through pseudorandom permutations of its block indices, a new one each time all its blocks are used up, and
+blocks are joined to the slots by (source, index).
 
 Targets: sources in the order of their code points, null last, weigh as the weights repeat; each gets its
 part of all words, at most MAX_EPOCHS times its own, and what is above is shared among the others by weight
 until no target is above.
 
+A source's stream has its rows in the order of buckets by a hash of doc_id and row, then of doc_id and that hash.
+Rows that are alike in every column are counted once and told apart by a number.
+
 Defined cases: null texts and texts without words have size 0 and are never taken; a null source is a source;
-repeated rows are documents of their own; an empty table gives no rows; other columns are ignored.
+repeated rows are documents of their own; a text of any length is cut into blocks like any other; an empty table
+gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, load, n_words, tidy, write_table
 
 WEIGHTS = (5.0, 2.0, 1.0)
-BLOCK_WORDS, SHARD_SLOTS, MAX_EPOCHS = 64, 4096, 3
+BLOCK_WORDS, SHARD_SLOTS, STRATUM, MAX_EPOCHS = 64, 4096, 256, 3
 #: Targets are worked out on the driver, one number a source.
 MAX_SOURCES = 100_000
-#: Documents of a source whose words are summed up in one window.
-DOCS_PER_BUCKET = 2_000
+#: Documents of a source whose words are summed up in one window; buckets that are summed up in one.
+DOCS_PER_BUCKET, BUCKETS_PER_GROUP = 2_000, 2_000
 
 
 def targets(sizes: list[int], weights: list[float], total: float | None = None, most: float = MAX_EPOCHS) -> list[float]:
@@ -52,32 +57,41 @@ def targets(sizes: list[int], weights: list[float], total: float | None = None,
     return out
 
 
+def apportioned(filled: int, totals: np.ndarray) -> np.ndarray:
+    """Slots of each source among the first `filled` ones when the i-th slot of a source of n has the due time
+    (i + 1/2) / n; equal times go in the sources' order. Grows with filled in every source."""
+    total = int(totals.sum())
+    q = np.array([(2 * filled * n + total) // (2 * total) for n in totals.tolist()], np.int64)  # whole numbers of any size
+    q = np.minimum(q, totals)
+    lack = filled - int(q.sum())
+    for _ in range(lack):
+        q[np.where(q < totals, (q + 0.5) / totals, np.inf).argmin()] += 1
+    for _ in range(-lack):
+        due = np.where(q > 0, (q - 0.5) / np.maximum(totals, 1), -np.inf)
+        q[totals.size - 1 - due[::-1].argmax()] -= 1
+    return q
+
+
 def _draw(rng: np.random.Generator, counts: np.ndarray, n: int) -> np.ndarray:
-    """How n slots drawn without replacement fall on sources with counts slots. Above the range of the exact
-    draw, a normal draw of the same mean and variance."""
+    """How n slots drawn without replacement fall on sources with counts slots, STRATUM * SHARD_SLOTS at most in all."""
     out, pool = np.zeros_like(counts), int(counts.sum())
-    for k, c in enumerate(counts.tolist()):
+    for k in np.flatnonzero(counts).tolist():
         if n <= 0:
             break
+        c = int(counts[k])
         rest = pool - c
-        if c == 0:
-            continue
-        if rest == 0:
-            x = n
-        elif pool < 1_000_000_000:
-            x = int(rng.hypergeometric(c, rest, n))
-        else:
-            p = c / pool
-            x = int(round(rng.normal(n * p, (n * p * (1 - p) * (pool - n) / (pool - 1)) ** 0.5)))
-        out[k] = x = min(max(x, 0, n - rest), c, n)
+        out[k] = x = n if rest == 0 else int(rng.hypergeometric(c, rest, n))
         n, pool = n - x, rest
     return out
 
 
 def shard_counts(shard: int, slots: np.ndarray, shard_slots: int = SHARD_SLOTS, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """A shard's slots of each source, and the slots of each source in the shards before it."""
-    lo, hi = 0, -(-int(slots.sum()) // shard_slots)
-    counts, before = slots.copy(), np.zeros_like(slots)
+    total = int(slots.sum())
+    lo = shard // STRATUM * STRATUM
+    hi = min(lo + STRATUM, -(-total // shard_slots))
+    before = apportioned(lo * shard_slots, slots)
+    counts = apportioned(min(hi * shard_slots, total), slots) - before
     while hi - lo > 1:
         mid = (lo + hi) // 2
         left = _draw(np.random.default_rng([seed, lo, hi]), counts, (mid - lo) * shard_slots)
@@ -106,12 +120,24 @@ def permute(index: np.ndarray, size: int, key: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def place(docs: DataFrame, weights=WEIGHTS):
-    """Rows of docs(doc_id, source, text...) with size, source_no and start, their place in their source's words;
-    and per source (name, size, target, slots), in order. Zero-size rows have a start too, but take no words."""
+def _row_hash(docs: DataFrame) -> Column:
+    """64 bits of all columns of a row."""
+    maps = [f.name for f in docs.schema.fields if "map<" in f.dataType.simpleString()]  # which have no hash of their own
+    return F.xxhash64(*[c for c in docs.columns if c not in maps], *([F.to_json(F.struct(*maps))] if maps else []))
+
+
+def _hashed(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, source, text, ...) -> doc_id, source, size and tie, a hash of the whole row."""
+    return docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text").cast("string")).alias("size"), _row_hash(docs).alias("tie"))
+
+
+def place(docs: DataFrame, weights=WEIGHTS) -> tuple[DataFrame, list[dict]]:
+    """docs(doc_id, source, text, ...) -> a row per row that is unlike all others, with the number of copies: source_no,
+    doc_id, tie, size, copies, start (of the first copy, in the source's words), source, source_size, target; and per
+    source (name, size, target, slots), in order. Texts are read and counted once."""
     spark = docs.sparkSession
-    sized = docs.withColumn("size", n_words(F.col("text").cast("string")))
-    per_source = sized.groupBy(F.col("source").cast("string").alias("source")).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("docs")).orderBy(F.col("source").asc_nulls_last()).limit(MAX_SOURCES + 1).collect()
+    sized = write_table(spark, _hashed(docs).groupBy("source", "doc_id", "tie", "size").agg(F.count(F.lit(1)).alias("copies")), "mix-sizes")
+    per_source = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("size"), F.count(F.lit(1)).alias("docs")).orderBy(F.col("source").asc_nulls_last()).limit(MAX_SOURCES + 1).collect()
     if len(per_source) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     sizes = [r["size"] for r in per_source]
@@ -120,17 +146,16 @@ def place(docs: DataFrame, weights=WEIGHTS):
     slots = [min(int(round(g / n * b)), MAX_EPOCHS * b) if n else 0 for g, n, b in zip(goal, sizes, blocks)]
     info = [{"source": r.source, "source_size": n, "target": g, "blocks": b, "slots": s, "buckets": -(-r.docs // DOCS_PER_BUCKET)} for r, n, g, b, s in zip(per_source, sizes, goal, blocks, slots)]
     table = spark.createDataFrame([(k, i["source"], i["source_size"], i["target"], i["buckets"]) for k, i in enumerate(info)], "source_no int, of_source string, source_size long, target double, buckets long")
-    known = sized.join(F.broadcast(table), F.col("source").cast("string").eqNullSafe(F.col("of_source"))).drop("of_source")  # MAX_SOURCES rows at most
-    known = known.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.col("buckets"))).drop("buckets")
-    sums = known.groupBy("source_no", "bucket").agg(F.sum("size").alias("n"))
-    before = Window.partitionBy("source_no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # a short row a bucket
-    bases = sums.select("source_no", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    return known, bases, info
-
-
-def _with_start(known: DataFrame, bases: DataFrame) -> DataFrame:
-    inside = Window.partitionBy("source_no", "bucket").orderBy("doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
-    return known.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(bases, ["source_no", "bucket"]).withColumn("start", F.col("base") + F.col("inside")).drop("inside", "base", "bucket", "tie")
+    known = sized.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("of_source"))).drop("of_source")  # MAX_SOURCES rows at most
+    known = known.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "tie"), F.col("buckets"))).drop("buckets").withColumn("n", F.col("size") * F.col("copies"))
+    before = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    running = lambda w: F.coalesce(F.sum("n").over(w), F.lit(0))
+    sums = known.groupBy("source_no", "bucket").agg(F.sum("n").alias("n")).withColumn("far", F.expr(f"bucket div {BUCKETS_PER_GROUP}"))
+    fars = sums.groupBy("source_no", "far").agg(F.sum("n").alias("n")).select("source_no", "far", running(before("source_no").orderBy("far")).alias("far_base"))
+    bases = sums.select("source_no", "far", "bucket", running(before("source_no", "far").orderBy("bucket")).alias("base")).join(fars, ["source_no", "far"])
+    inside = before("source_no", "bucket").orderBy("doc_id", "tie")
+    placed = known.withColumn("inside", running(inside)).join(bases, ["source_no", "bucket"]).withColumn("start", F.col("far_base") + F.col("base") + F.col("inside"))
+    return placed.select("source_no", "doc_id", "tie", "size", "copies", "start", "source", "source_size", "target"), info
 
 
 def drawn_slots(spark: SparkSession, info: list[dict], seed: int = 0) -> DataFrame:
@@ -155,20 +180,20 @@ def drawn_slots(spark: SparkSession, info: list[dict], seed: int = 0) -> DataFra
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """docs(doc_id, source, text) -> (documents, pieces). documents: doc_id, source, size, source_size, target,
-    source_no, start, a row per row. pieces: source_no, start, doc_id, size, block, epochs (those that take the
-    block), from_word and words (the document's part of the block)."""
+    """docs(doc_id, source, text, ...) -> (documents, pieces). documents: source_no, doc_id, tie, size, start, source,
+    source_size, target, a row per row. pieces: source_no, start, doc_id, tie, size, block, epochs (those that take the
+    block), from_word and words (the document's part of the block). source_no and start name a document with words."""
     spark = docs.sparkSession
-    known, bases, info = place(docs.select("doc_id", "source", "text"), weights)
-    placed = _with_start(known.withColumn("tie", F.xxhash64("text")).drop("text"), bases)
+    placed, info = place(docs, weights)
     placed = write_table(spark, placed, "mix-placed")
+    each = placed.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).withColumn("start", F.col("start") + F.col("copy") * F.col("size")).drop("copy", "copies")
     taken = drawn_slots(spark, info, seed).groupBy("source_no", "block").agg(F.collect_set("epoch").alias("epochs"))  # MAX_EPOCHS values at most
     first, last = F.col("start") / BLOCK_WORDS, (F.col("start") + F.col("size") - 1) / BLOCK_WORDS
-    cut = placed.where("size > 0").select("source_no", "start", "doc_id", "size", F.explode(F.sequence(F.floor(first), F.floor(last))).alias("block"))
+    cut = each.where("size > 0").select("source_no", "start", "doc_id", "tie", "size", F.explode(F.sequence(F.floor(first), F.floor(last))).alias("block"))
     at = F.greatest(F.col("start"), F.col("block") * BLOCK_WORDS)
     cut = cut.withColumn("from_word", at - F.col("start")).withColumn("words", F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * BLOCK_WORDS) - at)
     # the planner can't tell how many slots a shard draws and would broadcast them
-    return placed, cut.join(taken.hint("merge"), ["source_no", "block"])
+    return each, cut.join(taken.hint("merge"), ["source_no", "block"])
 
 
 def mixed_documents(docs: DataFrame, weights=WEIGHTS, seed: int = 0) -> DataFrame:
@@ -176,10 +201,12 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, seed: int = 0) -> DataFram
     docs, other texts as they were. A text taken whole is kept as it is, else its pieces are cut at words and
     joined by a line break where words between them were not taken."""
     _, pieces = mix(docs, weights, seed)
-    per_doc = pieces.select("source_no", "start", "doc_id", "size", "from_word", "words", F.explode("epochs").alias("epoch")).groupBy("source_no", "start", "doc_id", "size", "epoch").agg(F.sum("words").alias("got"), F.array_sort(F.collect_list(F.struct("from_word", "words"))).alias("parts"))
-    known, bases, _ = place(docs.withColumn("row_columns", F.struct(*docs.columns)).select("doc_id", "source", "text", "row_columns"), weights)
-    placed = _with_start(known.withColumn("tie", F.xxhash64("text")), bases).where("size > 0").select(F.col("source_no").alias("s"), F.col("start").alias("at"), "text", "row_columns")
-    joined = per_doc.hint("merge").join(placed, (F.col("s") == F.col("source_no")) & (F.col("at") == F.col("start")))
+    per_doc = pieces.select("source_no", "start", "doc_id", "tie", "size", "from_word", "words", F.explode("epochs").alias("epoch")).groupBy("source_no", "start", "doc_id", "tie", "size", "epoch").agg(F.sum("words").alias("got"), F.array_sort(F.collect_list(F.struct("from_word", "words"))).alias("parts"))
+    key = F.coalesce(F.concat(F.lit("i"), F.col("doc_id").cast("string")), F.lit(""))  # never null
+    per_doc = per_doc.select(key.alias("key"), "tie", "size", "got", "parts")
+    # rows that are alike are one here, combined before the shuffle; their copies are rows of per_doc
+    rows = docs.select(key.alias("key"), _row_hash(docs).alias("tie"), F.struct(*docs.columns).alias("row_columns")).groupBy("key", "tie").agg(F.first("row_columns").alias("row_columns"))
+    joined = per_doc.hint("merge").join(rows, ["key", "tie"])
 
     def run(batches):
         import re
@@ -202,14 +229,14 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, seed: int = 0) -> DataFram
                 out.append(t)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), b.column(b.schema.get_field_index("row_columns"))], names=["new_text", "row_columns"])
 
-    schema = joined.select(F.lit("").alias("new_text"), "row_columns").schema
-    done = joined.select("text", "size", "got", "parts", "row_columns").mapInArrow(tidy(run), schema)
+    taken = joined.select(F.col("row_columns.text").cast("string").alias("text"), "size", "got", "parts", "row_columns")
+    done = taken.mapInArrow(tidy(run), joined.select(F.lit("").alias("new_text"), "row_columns").schema)
     return done.select(*[F.col("new_text").alias(c) if c == "text" else F.col("row_columns")[c].alias(c) for c in docs.columns])
 
 
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents, pieces = mix(load(spark, sf_dir, "documents"))
-    got = pieces.groupBy(F.col("source_no").alias("s"), F.col("start").alias("at"), F.col("doc_id").alias("d")).agg(F.sum(F.col("words") * F.size("epochs")).alias("taken"))
+    documents, pieces = mix(load(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    got = pieces.groupBy(F.col("source_no").alias("s"), F.col("start").alias("at")).agg(F.sum(F.col("words") * F.size("epochs")).alias("taken"))
     # start names a document that has words
     same = (F.col("source_no") == F.col("s")) & (F.col("start") == F.col("at")) & (F.col("size") > 0)
     return documents.join(got.hint("merge"), same, "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source")
