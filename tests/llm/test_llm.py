@@ -1,13 +1,16 @@
 """Operators on hostile rows: nulls anywhere, empty and very long texts, ties, repeats, empty tables, clashing columns."""
 
+import glob
 import hashlib
 import re
+import shutil
 import zlib
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,7 +53,7 @@ def sf(spark, tmp_path_factory):
     frame(spark, documents()).write.parquet(f"{d}/documents.parquet")
     chats = [(1, 0, "user", "hi"), (1, 1, "assistant", "a <b> # \\l \\\\ c"), (1, 1, "assistant", "tie"), (2, None, None, None), (2, 0, "tool:x<#\\", "</turn>\n### User: "), (None, 0, "user", "x"), (3, 0, "system", ""), (3, 1, "user", "q"), (3, 2, "assistant", "long " * 50_000), (4, 0, "assistant", None)]
     spark.createDataFrame(chats, "conv_id long, turn long, role string, text string").write.parquet(f"{d}/conversations.parquet")
-    pages = [(1, "http://a/?x\r\ny", "<title> A\n b</title><p>x &amp;lt; y<script>var '</p>'</script><!-- c --><a href=\"/q'\">l</a>"), (2, None, None), (3, "u", "no tags"), (3, "u", "no tags"), (None, "v", "<b>" * 5000)]
+    pages = [(1, "http://a/?x\r\ny", "<title> A\n b</title><p>x &amp;lt; y<script>var '</p>'</script><!-- c --><a href=\"/q'\">l</a>"), (2, None, None), (3, "u", "no tags"), (3, "u", "no tags"), (None, "v", "<b>" * 5000), (4, "w", "<script>a</script >x<script>b<!-- c --> d <!-- e <title>T\n t</title> <title> u <a href=\"/p\r\nq\">v</a><a <b> href=\"/no\">" + "w <i>" * 20_000)]
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{d}/pages.parquet")
     return d
 
@@ -76,8 +79,8 @@ def test_same_rows_as_sql(spark, sf, name):
     for t in ("documents", "conversations", "pages"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet/*.parquet')")
     if name.startswith("op9_"):  # SQL tells repeated doc_ids apart no more than null ones
-        con.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet/*.parquet') WHERE doc_id <> 5 AND doc_id <> 77")
-        docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id <> 5 AND doc_id <> 77").select(F.col("doc_id").alias("id"), "text")
+        con.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet/*.parquet') WHERE doc_id <> 5")
+        docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id <> 5").select(F.col("doc_id").alias("id"), "text")
         df = search.search(docs, docs.where("id % 20 = 0")).withColumn("score", F.round("score", 6))
     else:
         df = QUERIES[name](spark, sf)
@@ -85,6 +88,53 @@ def test_same_rows_as_sql(spark, sf, name):
     assert sorted(str(tuple(r[c] for c in rel.columns)) for r in df.collect()) == sorted(map(str, rel.fetchall()))
 
 
+def bm25_by_force(rows, k=search.TOP):
+    """Ranked (query_id, score, doc_id) of rows (id, text), queries being those with an id divisible by 20."""
+    low = {c: c + 32 for c in range(65, 91)}
+    counts = [(i, Counter(WORDS.findall((t or "").translate(low)))) for i, t in rows]
+    sizes = [sum(c.values()) for _, c in counts if c]
+    df, n, mean = Counter(w for _, c in counts for w in c), len(sizes), sum(sizes) / len(sizes)
+    out = []
+    for q, asked in counts:
+        if q is None or q % 20 or not asked:
+            continue
+        found = []
+        for i, c in counts:
+            length = sum(c.values())
+            score = sum(np.log1p((n - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * (search.K1 + 1) / (c[w] + search.K1 * (1 - search.B + search.B * length / mean)) for w in asked if w in c)
+            if score:
+                found.append((-round(float(score), 6), i is not None, i))
+        out += [(q, -a, i) for a, _, i in sorted(found, key=lambda x: (x[0], x[1], x[2] or 0))[:k]]
+    return Counter(out)
+
+
+def test_search_equals_brute_force(spark):
+    rng = np.random.default_rng(7)
+    words = [f"w{k}" for k in range(400)]
+    p = 1 / np.arange(1, 401)
+    rows = [(i, " ".join(rng.choice(words, rng.integers(1, 60), p=p / p.sum()))) for i in range(300)]
+    rows += [(400 + i, rows[3][1]) for i in range(40)] + [(20, rows[0][1]), (None, rows[1][1])]  # ties beyond k, repeats
+    for texts in (rows, [(i, t) for i, t, _, _ in documents()]):
+        docs = spark.createDataFrame(texts, "id long, text string")
+        got = search.search(docs, docs.where("id % 20 = 0")).collect()
+        assert Counter((r.query_id, round(r.score, 6), r.doc_id) for r in got) == bm25_by_force(texts)
+
+
+def test_search_skips_documents():
+    rng = np.random.default_rng(9)
+    got = [np.unique(rng.zipf(1.3, 80).clip(1, 5000).astype(np.int64), return_counts=True) for _ in range(2000)]
+    batch = search._shard_row(pa.array(range(2000)), got, pa.int64())
+    shard = search.Shard({n: batch.column(n)[0].as_buffer() for n in ("lengths", "terms", "df", "docs", "tfs")}, 80.0)
+    t = np.searchsorted(shard.terms, got[5][0])
+    idf = np.log1p((2000 - shard.df[t] + 0.5) / (shard.df[t] + 0.5))
+    full = shard.sums(t, idf)[: shard.n]
+    for least in (0.0, float(np.sort(full)[-40])):
+        score, doc = shard.top(t, idf, 10, np.arange(2000), least)
+        best = np.lexsort((np.arange(2000), -np.round(full, 9)))[:10]
+        assert doc.tolist() == best.tolist() and np.allclose(score, full[best])
+    assert len(shard.top(t, idf, 10, np.arange(2000), float(full.max()) + 1)[0]) == 0
+
+
 def test_search_in_blocks(spark, sf, monkeypatch):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
     whole = sorted(map(str, search.search(docs, docs.where("id % 20 = 0")).collect()))
@@ -134,10 +184,43 @@ def test_mixing_parts():
     assert (sum(c for c, _ in counts) == slots).all() and {int(c.sum()) for c, _ in counts[:-1]} == {256}
     for k, (_, before) in enumerate(counts):
         assert (before == sum((c for c, _ in counts[:k]), np.zeros(5, int))).all()
+    # the same at any size: shards are drawn inside strata that hold their part of every source
+    huge = np.array([9 * 10**11, 5 * 10**9, 3, 0])
+    last = -(-int(huge.sum()) // mixing.SHARD_SLOTS) - 1
+    for k in (0, 255, 256, 10**7, last - 1):
+        counts, before = mixing.shard_counts(k, huge)
+        assert counts.sum() == mixing.SHARD_SLOTS and (mixing.shard_counts(k + 1, huge)[1] == before + counts).all()
+    counts, before = mixing.shard_counts(last, huge)
+    assert (before + counts == huge).all()
+    for total in (np.array([100000, 3, 1, 50, 77777]), np.array([0, 7]), np.array([1, 1, 1])):
+        steps = [mixing.apportioned(k, total) for k in range(0, total.sum() + 1, max(1, total.sum() // 500))]
+        assert all((b >= a).all() for a, b in zip(steps, steps[1:])) and (mixing.apportioned(int(total.sum()), total) == total).all()
     for n in (1, 2, 3, 100, 4097):
         assert sorted(mixing.permute(np.arange(n), n, np.full(n, 7, np.uint64))) == list(range(n))
 
 
+def test_mixing_takes_what_slots_draw(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", "text")
+    placed, info = mixing.place(docs)
+    drawn = Counter((r.source_no, r.block) for r in mixing.drawn_slots(spark, info).collect())
+    assert Counter(k for k, _ in drawn.elements()) == {k: i["slots"] for k, i in enumerate(info) if i["slots"]}
+    want, streams = Counter(), defaultdict(list)
+    for r in placed.collect():
+        for copy in range(r.copies):
+            start = r.start + copy * r["size"]
+            streams[r.source_no].append((start, r["size"]))
+            want[r.doc_id] += sum(drawn[r.source_no, w // mixing.BLOCK_WORDS] for w in range(start, start + r["size"]))
+    for own in streams.values():
+        at = 0
+        for start, n in sorted(own):
+            assert start == at
+            at += n
+    got = Counter()
+    for r in QUERIES["op1_source_mix"](spark, sf).collect():
+        got[r.doc_id] += r.taken
+    assert got == want
+
+
 def test_mixed_documents_hold_what_was_taken(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     out = mixing.mixed_documents(docs)
@@ -170,20 +253,68 @@ def test_packing(spark, sf):
         whole = b"".join(bytes(r.ids) for r in own)
         assert ids[whole] and len(whole) == 4 * own[0].doc_tokens
     assert sum(r.length for r in pieces) == sum(len(k) // 4 * n for k, n in ids.items())
-    full = [k for k, v in seqs.items() if sum(n for _, n in v) == 4096]
-    total = Counter(r.source for r in pieces for _ in range(r.length))
-    for k in full[:5]:
-        share = Counter()
-        for r in pieces:
-            if r.sequence_id == k:
-                share[r.source] += r.length
-        assert all(abs(share[s] - 4096 * n / sum(total.values())) <= 2 for s, n in total.items())
-
-
-def test_service_is_monotone_and_exact():
-    totals = np.array([100000, 3, 1, 50, 77777])
-    q = packing.served(np.arange(0, 60), totals, 4096)
-    assert (q.sum(1) == np.minimum(np.arange(60) * 4096, totals.sum())).all() and (np.diff(q, axis=0) >= 0).all() and (q[-1] == totals).all()
+    assert len(pieces) <= len(documents()) + len(seqs)  # cut at sequences' ends only
+
+
+def served_by_loop(docs, quantum):
+    """Documents (source, tokens, name) in the order of plain deficit round-robin."""
+    queues = {s: [d for d in docs if d[0] == s] for s in quantum}
+    deficit, out = dict.fromkeys(quantum, 0), []
+    while any(queues.values()):
+        for s, queue in queues.items():
+            if queue:
+                deficit[s] += quantum[s]
+                while queue and queue[0][1] * packing.UNIT <= deficit[s]:
+                    deficit[s] -= queue[0][1] * packing.UNIT
+                    out.append(queue.pop(0))
+    return out
+
+
+@pytest.mark.parametrize("targets", [None, {"a": 0.7, None: 0.2}, {"a": 0.05, "b": 0.9, None: 0.05}])
+def test_packing_equals_a_plain_loop(spark, targets):
+    rng = np.random.default_rng(3)
+    rows = []
+    for part in range(3):
+        local = Counter()
+        for row in range(120):
+            source, n = [("a", int(rng.integers(1, 90))), ("b", int(rng.integers(1, 900))), (None, 5)][rng.integers(0, 3)]
+            rows.append((part, row, source, local[source], n))
+            local[source] += n
+    rows.append((3, 0, "only", 0, 30_000))
+    sizes = Counter()
+    for r in rows:
+        sizes[r[2]] += r[4]
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    quantum = packing.quanta({s: sizes[s] for s in order}, targets, 256)
+    assert abs(sum(quantum.values()) - 256 * packing.UNIT) <= len(quantum)
+    if targets:
+        given = [s for s in order if s in targets]
+        assert abs(quantum[given[0]] / quantum[given[-1]] - targets[given[0]] / targets[given[-1]]) < 1e-3
+    want, at = {}, 0
+    for source, n, name in served_by_loop([(r[2], r[4], r[:2]) for r in rows], quantum):
+        want[name] = at
+        at += n
+    placed, total = packing.place(spark.createDataFrame(rows, "part long, row long, source string, local long, n_tokens long"), targets, 256)
+    assert total == at and {(r.part, r.row): r["at"] for r in placed.collect()} == want
+
+
+def test_packing_pieces():
+    rng = np.random.default_rng(4)
+    for total in (1, 63, 64, 65, 64 * 7 + 37):
+        n = rng.multinomial(total - min(total, 9), [1 / 9] * 9) + (1 if total >= 9 else 0) if total >= 9 else np.array([total])
+        at = np.cumsum(n) - n
+        doc, start, length, seq, offset = packing.cut_pieces(at, n, int(n.sum()), 64)
+        size = Counter()
+        for d, s, k, q, o in zip(doc, start, length, seq, offset):
+            assert k > 0 and o == size[int(q)]
+            size[int(q)] += k
+        assert sorted(size) == list(range(len(size))) and all(v == 64 or v & (v - 1) == 0 for v in size.values())
+        for d in range(len(n)):
+            own = sorted(zip(start[doc == d], length[doc == d]))
+            assert [x for x, _ in own] == [0, *np.cumsum([k for _, k in own])[:-1]] and sum(k for _, k in own) == n[d]
+    # one document among 1e9 tokens costs no more than its windows
+    doc, *_ = packing.cut_pieces(np.array([999_000_000]), np.array([9000]), 1_000_000_000)
+    assert len(doc) <= 4
 
 
 def test_token_store(spark, sf, tmp_path):
@@ -199,18 +330,43 @@ def test_token_store(spark, sf, tmp_path):
     assert known == sorted(known)
     back = {r.doc_id: r.ids for r in token_store.read_ids(spark, path).collect()}
     assert all(back[i] == x.tolist() for i, x in ids if i is not None)
+    ordered = []
+    for f in sorted(glob.glob(f"{path}/manifest/part-*")):
+        ordered += pq.read_table(f, columns=["doc_id"]).column(0).to_pylist()
+    assert [i for i in ordered if i is not None] == known and len(ordered) == len(ids)
+    manifest = spark.read.parquet(f"{path}/manifest")
+    for changed in (manifest.where("doc_id IS NULL OR doc_id <> 40"), manifest.withColumn("doc_id", F.col("doc_id") + 1)):
+        changed.write.parquet(f"{path}/other")
+        shutil.move(f"{path}/manifest", f"{path}/kept")
+        shutil.move(f"{path}/other", f"{path}/manifest")
+        with pytest.raises(Exception, match="roots"):
+            token_store.read_digests(spark, path)
+        shutil.rmtree(f"{path}/manifest")
+        shutil.move(f"{path}/kept", f"{path}/manifest")
     chunks = spark.read.parquet(f"{path}/parts/is_doc=false")
     assert chunks.count() == chunks.select("key").distinct().count()
     bad = chunks.withColumn("data", F.concat("data", F.lit(b"\0\0")))
     bad.write.parquet(f"{path}/x")
-    import shutil
-
     shutil.rmtree(f"{path}/parts/is_doc=false")
     shutil.move(f"{path}/x", f"{path}/parts/is_doc=false")
     with pytest.raises(Exception, match="address"):
         token_store.read_digests(spark, path).collect()
 
 
+def test_cuts_of_a_group_are_those_of_its_streams():
+    rng = np.random.default_rng(8)
+    sizes = [0, 5, 3000, 256, 257, 40_000, 1, 20_000]
+    ids = rng.integers(0, 50_000, sum(sizes)).astype("<u2")
+    ids[3300:3300 + 9000] = 7
+    edges = np.cumsum([0, *sizes])
+    got = token_store.group_cuts(ids, sizes)
+    assert got == [token_store.cuts(ids[a:b]) for a, b in zip(edges, edges[1:])]
+    for n, own in zip(sizes, got):
+        steps = np.diff([0, *own])
+        assert (own[-1] if own else 0) == n and (steps <= token_store.GREATEST).all() and (steps[:-1] >= token_store.LEAST).all()
+    assert any(len(x) > 3 for x in got)
+
+
 def test_crc_of_parts():
     powers = token_store._zero_byte_powers()
     parts = [b"abc", b"", b"x" * 70_001, b"tail"]
@@ -408,6 +564,39 @@ def test_warc_records_link(spark):
         assert len(rest.encode()) == n + 4 and x.block_digest == "sha256:" + hashlib.sha256(rest.encode()[:n]).hexdigest()
 
 
+def test_warc_fields_of_many_lines(spark):
+    page = '<TITLE>t</TITLE><a href="/x\r\ny">1</a><a href="/z">2</a>'
+    rows = [("u", "HTTP/1.1 200 OK\r\nA: 1\r\nB: 2\r\n\r\nX", page, 7, "mine", "t1"), (None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "url string, http_headers string, payload string, page_id long, record_id string, target_uri string")
+    done = warc.derive(df)
+    assert done.columns == ["page_id", *warc.OUTPUT]
+    for x in done.collect():
+        head, _, rest = x.record.partition("\r\n\r\n")
+        n = int(re.search(r"Content-Length: (\d+)", head)[1])
+        assert len(rest.encode()) == n + 4 and rest.endswith("\r\n\r\n") and x.record_id != "mine"
+        if x.target_uri == "u":
+            assert re.findall("X-Source-Http-Headers: (.*)\r\n", head) == ["HTTP/1.1 200 OK", "A: 1", "B: 2", "X"]
+            if x.record_type == "metadata":
+                assert rest[:n].split("\r\n") == ["title: t", "links: 2", "outlink: /xy", "outlink: /z", ""]
+
+
+def test_warc_responses_are_read(spark):
+    http = "HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>a</p>\r\n\r\nb"
+    record = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: http://a/b\r\nContent-Length: {len(http)}\r\n\r\n{http}\r\n\r\n"
+    df = spark.createDataFrame([(record, 1), (record.replace("response", "request"), 2), ("no record", 3), (None, 4)], "record string, payload long")
+    assert [tuple(r) for r in warc.read_responses(df).collect()] == [("http://a/b", "HTTP/1.1 200 OK\r\nContent-Type: text/html", "<p>a</p>\r\n\r\nb")]
+
+
+@pytest.mark.parametrize("part", ["<script>", "<", "<!--", "<title>", "<a ", '<a href="', "<script ", "<p", "a</script", "--", " \n"])
+def test_warc_takes_time_in_proportion(spark, part):
+    import time
+
+    df = spark.createDataFrame([("u", "H: 1", part * 60_000)], "url string, http_headers string, payload string")
+    began = time.time()
+    assert len(warc.derive(df).collect()) == 2
+    assert time.time() - began < 10
+
+
 def test_pipeline(spark, tmp_path):
     rows = [r for r in documents() if r[0] not in (None, 5, 77)]
     frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
