@@ -16,8 +16,8 @@ and the pairs are confirmed there, which yields only links that span what is con
 different components are found this way, so the components are those of all pairs within the distance.
 
 Defined cases: null or wordless texts have an empty set and are linked with nothing; repeated rows are one
-node and get the same component; a null doc_id takes no part in minima; an empty table gives no rows; other
-columns are ignored.
+node and get the same component; a null doc_id takes no part in minima; a text of any length is compared whole; an empty
+table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,8 +37,8 @@ CHUNKS, CHUNK_SYMBOLS = 13, 5
 SYMBOLS = CHUNKS * CHUNK_SYMBOLS
 #: A chunk may differ in one symbol, so 2 * CHUNKS - 1 symbols in all.
 DISTANCE = 2 * CHUNKS - 1
-#: Members of a bucket compared with one another in one task.
-BLOCK = 256
+#: Members of a bucket, and shingles they have on average, that are compared with as many others in one task.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 20
 SHINGLE, PERCENT = 5, 85
 
 _MULTIPLIERS = mix(np.arange(1, SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -172,7 +172,8 @@ def _candidates(members: DataFrame) -> DataFrame:
     """members(key, node, component, n, sig) of buckets with several components -> task, node, partners: for each
     pair of blocks of a bucket, the nodes that have a pair of different components within the distance there,
     and of each the partners (packed) it is to be confirmed with. A pair is named in its first bucket only."""
-    blocks = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    # as many blocks as keep both a block's members and their full sets small
+    blocks = members.groupBy("key").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     dealt = members.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "component", "n", "sig")
@@ -293,7 +294,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     keys = _keys(nodes)
     buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("lead")).where("size > 1").select("key", "lead")
-    members = write_table(spark, keys.join(buckets.hint("shuffle_hash"), "key"), "dup-members")
+    members = write_table(spark, keys.join(buckets.hint("merge"), "key"), "dup-members")
 
     wanted = nodes.join(members.select("node").distinct(), "node", "left_semi")
     some = docs.join(wanted.select(F.col("label").alias("doc_id")).distinct(), "doc_id", "left_semi")
