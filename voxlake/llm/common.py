@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,32 +22,67 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one if driver and
+    executors are one process, as in tests; elsewhere that would lose data."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="voxlake-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
-#: Intermediate tables written by this driver and not yet released.
-_WRITTEN: list[str] = []
+class Tables(threading.local):
+    """Intermediate tables by owner, of one thread: those of lazy queries belong to nobody and stay."""
+
+    def __init__(self):
+        self.owner: str | None = None
+        self.paths: dict[str, list[str]] = {}
+
+
+_TABLES = Tables()
+
+
+@contextmanager
+def owned_by(owner: str):
+    """Intermediate tables written inside belong to owner, who can release them."""
+    before, _TABLES.owner = _TABLES.owner, owner
+    try:
+        yield
+    finally:
+        _TABLES.owner = before
 
 
 def write_table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Materialise df once as Parquet in the shared folder and read it back; cuts the lineage."""
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _WRITTEN.append(path)
+    if _TABLES.owner is not None:
+        _TABLES.paths.setdefault(_TABLES.owner, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the intermediate tables written so far. Only for callers whose results are already stored."""
-    jvm = spark._jvm
-    while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession, owner: str) -> None:
+    """Delete an owner's intermediate tables; its results must be stored by now."""
+    for path in _TABLES.paths.pop(owner, []):
+        delete(spark, path)
+
+
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """The names, longer where docs has such columns."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def n_words(text: Column) -> Column:

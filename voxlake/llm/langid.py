@@ -12,8 +12,11 @@ The recursions run over all words of a batch at once: words are cut into segment
 matrices are multiplied up in parallel, messages are passed from segment to segment, and each segment is
 then filled in. Document starts are reset matrices, so a text's length does not matter.
 
+Grams are of UTF-8 bytes; every byte above 127 counts as a letter.
+
 Defined cases: a text that is null or has no letter gets `und` and score 0; without labelled rows every text
-does; rows without doc_id are never learned from; repeated rows get equal results; other columns are ignored.
+does; rows without doc_id are never learned from; repeated rows get equal results; a very long text is one sequence and
+is labelled whole; other columns are kept by identify and ignored by the query.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import extended, load, tidy
+from .common import extended, load, tidy, unused
 from .shingles import _BYTE, mix
 
 UNKNOWN = "und"
@@ -65,6 +68,8 @@ class Words:
         sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
         ends = np.cumsum(sizes) + 1
         self.doc_edges = np.concatenate([[0], np.searchsorted(starts, ends)])  # words before each text
+        begin = np.repeat(ends - sizes, np.diff(self.doc_edges))
+        self.starts, self.ends = starts - begin, starts - begin + np.diff([*self.first, len(at)])  # bytes of each word's text
         self.is_first = np.zeros(self.n, bool)
         heads = self.doc_edges[:-1]
         self.is_first[heads[heads < self.n]] = True
@@ -209,16 +214,22 @@ def train(texts: list[str], labels: list[str], seed: int = 0) -> Model:
     return model
 
 
+def _slices(texts: pa.Array):
+    """(first, end) of slices of SLICE_BYTES, or of one longer text."""
+    total = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + SLICE_BYTES, side="right")))
+        yield at, to
+        at = to
+
+
 def label_texts(model: Model, texts: pa.Array):
     """Language, score and mean confidence of the words, that of each in its own likeliest language, of each text;
     null for texts without a letter."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     has_letter = pc.match_substring_regex(texts, r"\p{L}").to_pylist()
-    total = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
-    at = 0
-    while at < len(texts):
-        base = total[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(total, base + SLICE_BYTES, side="right")))
+    for at, to in _slices(texts):
         w = Words(pc.utf8_lower(texts.slice(at, to - at)).cast(pa.large_binary()).to_pylist())
         if w.n:
             post = forward_backward(model.emissions(w), w.is_first, model.step)[3]
@@ -235,7 +246,6 @@ def label_texts(model: Model, texts: pa.Array):
                 yield model.langs[j], min(1.0, max(0.0, float(share[i, j] / n[i]))), min(1.0, max(0.0, float(sure[i] / n[i])))
             else:
                 yield None
-        at = to
 
 
 def _crc(doc_id: Column) -> Column:
@@ -260,10 +270,12 @@ def fit(docs: DataFrame, seed: int = 0) -> Model | None:
     return train([r.text for r in sample], [r.lang for r in sample], seed)
 
 
-def identify(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs(doc_id, text, ...) -> all columns, lang_pred, score, confidence."""
+def identify(docs: DataFrame, model: Model | None, names: tuple[str, str, str] = ("lang_pred", "score", "confidence")) -> DataFrame:
+    """docs(doc_id, text, ...) -> all columns, and language, score and confidence under names; columns of docs so named
+    are replaced."""
+    plain = docs.drop(*names)
     if model is None:
-        return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "confidence": F.lit(0.0)})
+        return plain.withColumns(dict(zip(names, (F.lit(UNKNOWN), F.lit(0.0), F.lit(0.0)))))
     held = docs.sparkSession.sparkContext.broadcast(model)  # TABLE rows and LEXICON words at most
 
     def run(batches):
@@ -271,16 +283,41 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
             k = b.schema.get_field_index("text")
             found = list(label_texts(held.value, b.column(k)))
             lang, score, sure = [x[0] if x else UNKNOWN for x in found], [x[1] if x else 0.0 for x in found], [x[2] if x else 0.0 for x in found]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(sure, pa.float64())], names=[*b.schema.names, "lang_pred", "score", "confidence"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(sure, pa.float64())], names=[*b.schema.names, *names])
+
+    plain = plain.withColumn("text", F.col("text").cast("string"))
+    return plain.mapInArrow(tidy(run), extended(plain.schema, f"`{names[0]}` string, `{names[1]}` double, `{names[2]}` double"))
 
-    plain = docs.drop("lang_pred", "score", "confidence")
-    return plain.mapInArrow(tidy(run), extended(plain.schema, "lang_pred string, score double, confidence double"))
+
+def label_words(docs: DataFrame, model: Model) -> DataFrame:
+    """docs(doc_id, text) -> a row per word: doc_id, start and end (bytes of the lower-cased text as UTF-8), lang_pred,
+    confidence (its posterior). Words are runs of letters a to z and bytes above 127; texts without one give no rows."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for b in batches:
+            texts = pc.utf8_lower(pc.fill_null(b.column(1).cast(pa.large_string()), ""))
+            for at, to in _slices(texts):
+                w = Words(texts.slice(at, to - at).cast(pa.large_binary()).to_pylist())
+                if not w.n:
+                    continue
+                post = forward_backward(held.value.emissions(w), w.is_first, held.value.step)[3]
+                doc = np.repeat(np.arange(at, to), np.diff(w.doc_edges))
+                best = post.argmax(1)
+                for i in range(0, w.n, 50_000):
+                    j = slice(i, i + 50_000)
+                    lang = pa.DictionaryArray.from_arrays(pa.array(best[j].astype(np.int32)), pa.array(held.value.langs, pa.string())).cast(pa.string())
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc[j])), pa.array(w.starts[j]), pa.array(w.ends[j]), lang, pa.array(post[j].max(1))], names=["doc_id", "start", "end", "lang_pred", "confidence"])
+
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(tidy(run), f"doc_id {kind}, start long, end long, lang_pred string, confidence double")
 
 
 def keep_known(docs: DataFrame, least_confidence: float = 0.4) -> DataFrame:
-    """docs without those whose words' languages can't be told; texts that mix languages stay, and all columns."""
-    found = identify(docs, fit(docs))
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("confidence") >= least_confidence)).select(*docs.columns)
+    """docs without those whose words' languages can't be told; texts that mix languages stay, and all columns as they are."""
+    names = unused(docs, "lang_pred", "score", "confidence")
+    found = identify(docs, fit(docs), tuple(names))
+    return found.where((F.col(names[0]) != UNKNOWN) & (F.col(names[2]) >= least_confidence)).drop(*names)
 
 
 def op6_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -230,7 +230,7 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, seed: int = 0) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), b.column(b.schema.get_field_index("row_columns"))], names=["new_text", "row_columns"])
 
     taken = joined.select(F.col("row_columns.text").cast("string").alias("text"), "size", "got", "parts", "row_columns")
-    done = taken.mapInArrow(tidy(run), joined.select(F.lit("").alias("new_text"), "row_columns").schema)
+    done = taken.mapInArrow(tidy(run), joined.select(F.lit(None).cast("string").alias("new_text"), "row_columns").schema)
     return done.select(*[F.col("new_text").alias(c) if c == "text" else F.col("row_columns")[c].alias(c) for c in docs.columns])
 
 

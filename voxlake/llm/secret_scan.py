@@ -7,22 +7,24 @@ letters of every text. They are scored under all automata: the bits by which the
 letters drawn evenly. Candidates beyond a threshold are added to the spans that the patterns find.
 
 Spans are whole matches in code points, end exclusive. Defined cases: a null text is empty; repeated rows get
-equal results; an empty table gives no rows; other columns are kept.
+equal results; a text of any length is scanned whole, in time proportional to it; an empty table gives no rows; other
+columns are kept, but a column named as the result's is replaced.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 import random
 import re
+from bisect import bisect_left
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import extended, load, tidy
+from .common import extended, load, tidy, unused
 
 # The patterns of the scan.
 KINDS = ("assign", "access", "hex", "learned")
@@ -210,10 +212,11 @@ class Scanner:
                     n = i + 1 - start
                     if n >= LEAST_LETTERS and bits >= per * n and (bits >= LEAST_BITS or start in found):
                         found[start] = (max(bits, found[start][0]) if start in found else bits, i + 1)
-        out: list[tuple[int, int]] = []
+        out: list[tuple[int, int]] = []  # in order, apart from one another
         for _, start, end in sorted((-bits, start, end) for start, (bits, end) in found.items()):
-            if not any(a < end and start < b for a, b in out):
-                out.append((start, start + len(run[start:end].rstrip("+/.="))))
+            k = bisect_left(out, (end, end))
+            if not k or out[k - 1][1] <= start:
+                out.insert(k, (start, start + len(run[start:end].rstrip("+/.="))))
         return out
 
 
@@ -238,10 +241,12 @@ def scan_text(text: str, models: tuple[Automaton, ...]) -> list[tuple[int, int,
     found += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
     base = sorted(found)
     scanner = _scanner(models)
+    starts, reach = [a for a, _, _ in base], list(accumulate((b for _, _, b in base), max))
     for m in _RUN.finditer(text):
         for start, end in scanner.candidates(m.group()):
             start, end = m.start() + start, m.start() + end
-            if not any(a < end and start < b for a, _, b in base):
+            k = bisect_left(starts, end)  # base spans that start before the end
+            if not k or reach[k - 1] <= start:
                 found.append((start, 3, end))
     return sorted(found)
 
@@ -256,9 +261,9 @@ def redact_text(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join(out) + text[last:]
 
 
-def scan(docs: DataFrame, redact: bool = False) -> DataFrame:
-    """docs with text -> all columns and spans, an array of (start, end, kind); with redact, spans in text are
-    replaced by their kind in brackets."""
+def scan(docs: DataFrame, redact: bool = False, name: str = "spans") -> DataFrame:
+    """docs with text -> all columns and, under name, an array of (start, end, kind), which replaces a column so named;
+    with redact, spans in text are replaced by their kind in brackets."""
     held = docs.sparkSession.sparkContext.broadcast(automata())  # as large as the labelled examples
 
     def run(batches):
@@ -272,15 +277,16 @@ def scan(docs: DataFrame, redact: bool = False) -> DataFrame:
                 texts.append(redact_text(text, found) if redact and found else text)
             columns = list(b.columns)
             columns[k] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, kind)], names=[*b.schema.names, "spans"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, kind)], names=[*b.schema.names, name])
 
-    plain = docs.drop("spans").withColumn("text", F.col("text").cast("string"))
-    return plain.mapInArrow(tidy(run), extended(plain.schema, "spans array<struct<start:long,end:long,kind:string>>"))
+    plain = docs.drop(name).withColumn("text", F.col("text").cast("string"))
+    return plain.mapInArrow(tidy(run), extended(plain.schema, f"`{name}` array<struct<start:long,end:long,kind:string>>"))
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """docs with all secrets in text replaced; rows and columns stay."""
-    return scan(docs, redact=True).select(*docs.columns)
+    """docs with all secrets in text replaced; rows and all other columns stay as they are."""
+    (name,) = unused(docs, "spans")
+    return scan(docs, redact=True, name=name).drop(name)
 
 
 def op5_secret_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
