@@ -126,7 +126,8 @@ def test_search_skips_documents():
     batch = search._shard_row(pa.array(range(2000)), got, pa.int64())
     shard = search.Shard({n: batch.column(n)[0].as_buffer() for n in ("lengths", "terms", "df", "docs", "tfs")}, 80.0)
     t = np.searchsorted(shard.terms, got[5][0])
-    idf = np.log1p((2000 - shard.df[t] + 0.5) / (shard.df[t] + 0.5))
+    df = np.frombuffer(batch.column("df")[0].as_buffer(), "<i4")
+    idf = np.log1p((2000 - df[t] + 0.5) / (df[t] + 0.5))
     full = shard.sums(t, idf)[: shard.n]
     for least in (0.0, float(np.sort(full)[-40])):
         score, doc = shard.top(t, idf, 10, np.arange(2000), least)
