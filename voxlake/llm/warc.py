@@ -6,8 +6,8 @@ WARC-Refers-To, WARC-Refers-To-Target-URI and WARC-Refers-To-Date of the respons
 field X-Source-Http-Headers, its payload digest under X-Source-Payload-Digest, and a digest of their own
 block. Record ids are derived from what a record is made of, so a rerun makes the same records.
 
-Patterns run in time proportional to a page: a tag holds no other `<`, and pairs such as `<script>` and `</script>` are
-sought only up to the last closing one.
+Patterns run in time proportional to a page: a tag holds no other `<`, and a script, style, comment or title that is
+not closed reaches to the page's end.
 
 Defined cases: null url and html are empty; line ends in a url become spaces, those in a link are left out, empty header
 lines are left out; a page of any length is one record; repeated rows make repeated records; an empty table makes none.
@@ -25,25 +25,21 @@ DATE = "2024-01-01T00:00:00Z"
 HTTP = "HTTP/1.1 200 OK; Content-Type: text/html; charset=utf-8; Content-Length: "
 OUTPUT = ("record_type", "record_id", "refers_to", "target_uri", "source_digest", "block_digest", "record")
 
-# The steps from HTML to plain text, as (what is left of what precedes the last end, pattern, replacement).
+# The steps from HTML to plain text, as (pattern, replacement).
 _STEPS = (
-    (r"(?is)^.*</(script|style)[^<>]*>", r"(?is)<(script|style)[^<>]*>.*?</(script|style)[^<>]*>", " "),
-    (r"(?s)^.*-->", r"(?s)<!--.*?-->", " "),
-    (None, r"(?i)</?(p|div|br|h[1-6]|li|ul|ol|tr|table|article|section|nav|title|body|head)[^<>]*>", "\n"),
-    (None, r"<[^<>]*>", ""),
+    (r"(?is)<(script|style)[^<>]*>(?:.*?</(script|style)[^<>]*>|.*\z)", " "),
+    (r"(?s)<!--(?:.*?-->|.*\z)", " "),
+    (r"(?i)</?(p|div|br|h[1-6]|li|ul|ol|tr|table|article|section|nav|title|body|head)[^<>]*>", "\n"),
+    (r"<[^<>]*>", ""),
 )
 _ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 _SPACES = ((r"[ \t\r\f]+", " "), (r" ?\n[ \n]*", "\n"), (r"^[ \n]+|[ \n]+$", ""))
-_TITLED, _TITLE, _LINK = r"(?is)^.*</title>", r"(?is)<title[^<>]*>(.*?)</title>", r'(?i)<a\s[^<>]*href="([^"]*)"'
+_TITLE, _LINK = r"(?is)<title[^<>]*>(.*?)(?:</title>|\z)", r'(?i)<a\s[^<>]*href="([^"]*)"'
 
 
 def plain_text(html: Column) -> Column:
-    for until, pattern, to in _STEPS:
-        if until is None:
-            html = F.regexp_replace(html, pattern, to)
-        else:
-            head = F.regexp_extract(html, until, 0)
-            html = F.concat(F.regexp_replace(head, pattern, to), F.substring(html, F.length(head) + 1, F.length(html)))
+    for pattern, to in _STEPS:
+        html = F.regexp_replace(html, pattern, to)
     for entity, to in _ENTITIES:
         html = F.replace(html, F.lit(entity), F.lit(to))
     for pattern, to in _SPACES:
@@ -70,7 +66,7 @@ def derive(responses: DataFrame, date: str = DATE) -> DataFrame:
     r = r.withColumn("source_digest", F.concat(F.lit("sha256:"), F.sha2("payload", 256)))
     r = r.withColumn("refers_to", _urn(F.lit("response"), F.lit(date), F.col("target_uri"), F.col("source_digest")))
     links = F.transform(F.regexp_extract_all("payload", F.lit(_LINK), 1), lambda x: F.regexp_replace(x, "[\r\n]", ""))
-    title = F.regexp_replace(F.regexp_extract(F.regexp_extract("payload", _TITLED, 0), _TITLE, 1), r"\s+", " ")
+    title = F.regexp_replace(F.regexp_extract("payload", _TITLE, 1), r"\s+", " ")
     fields = F.concat(F.lit("title: "), title, F.lit("\r\nlinks: "), F.size(links).cast("string"), F.lit("\r\n"), F.array_join(F.transform(links, lambda x: F.concat(F.lit("outlink: "), x, F.lit("\r\n"))), ""))
     two = F.array(F.struct(F.lit("metadata").alias("record_type"), F.lit("application/warc-fields").alias("kind"), fields.alias("block")), F.struct(F.lit("conversion").alias("record_type"), F.lit("text/plain; charset=utf-8").alias("kind"), plain_text(F.col("payload")).alias("block")))
     headers = F.filter(F.split("http_headers", "[\r\n]+"), lambda x: F.trim(x) != "")
@@ -114,12 +110,8 @@ def _sql_text() -> str:
     q = lambda s: "'" + s.replace("'", "''") + "'"
     code = lambda s: q(s).replace("\n", "' || chr(10) || '")
     out = "payload"
-    for until, pattern, to in _STEPS:
-        if until is None:
-            out = f"regexp_replace({out}, {q(pattern)}, {code(to)}, 'g')"
-        else:
-            head = f"regexp_extract(x, {q(until)}, 0)"
-            out = f"list_transform([{out}], lambda x: regexp_replace({head}, {q(pattern)}, {code(to)}, 'g') || x[length({head}) + 1:])[1]"
+    for pattern, to in _STEPS:
+        out = f"regexp_replace({out}, {q(pattern)}, {code(to)}, 'g')"
     for entity, to in _ENTITIES:
         out = f"replace({out}, {q(entity)}, {q(to)})"
     for pattern, to in _SPACES:
@@ -134,7 +126,7 @@ i AS (SELECT *, md5('response|{DATE}|' || target_uri || '|' || source_digest) AS
 t AS (SELECT *, '<urn:uuid:' || h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] || '>' AS refers_to FROM i),
 b AS (
   SELECT *, 'metadata' AS record_type, 'application/warc-fields' AS kind,
-    'title: ' || regexp_replace(regexp_extract(regexp_extract(payload, '{_TITLED}', 0), '{_TITLE}', 1), '\\s+', ' ', 'g') || chr(13) || chr(10) || 'links: ' || len(links) || chr(13) || chr(10)
+    'title: ' || regexp_replace(regexp_extract(payload, '{_TITLE}', 1), '\\s+', ' ', 'g') || chr(13) || chr(10) || 'links: ' || len(links) || chr(13) || chr(10)
     || coalesce(array_to_string(list_transform(links, lambda x: 'outlink: ' || x || chr(13) || chr(10)), ''), '') AS block FROM t
   UNION ALL SELECT *, 'conversion', 'text/plain; charset=utf-8', {_sql_text()} FROM t),
 d AS (SELECT *, 'sha256:' || sha256(block) AS block_digest FROM b),
