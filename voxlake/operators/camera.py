@@ -24,19 +24,24 @@ class Camera:
     translation: tuple = (0, 0, 0)
 
 
+def _step(points: DataFrame, *columns) -> DataFrame:
+    """Columns computed once a row: a generator of one row, through which later filters and steps are not inlined."""
+    return points.select("*", F.inline(F.array(F.struct(*columns))))
+
+
 def project(points: DataFrame, cam: Camera) -> DataFrame:
     """points with u, v (null behind the camera) and depth."""
     xc, yc, zc = apply_matrix(cam.rotation, ("x", "y", "z"), cam.translation)
-    p = points.withColumns({"_xc": xc, "_yc": yc, "depth": zc})
+    p = _step(points, xc.alias("_xc"), yc.alias("_yc"), zc.alias("depth"))
     ok = F.col("depth") > 0
-    a, b = F.when(ok, F.col("_xc") / F.col("depth")), F.when(ok, F.col("_yc") / F.col("depth"))
+    p = _step(p, F.when(ok, F.col("_xc") / F.col("depth")).alias("_a"), F.when(ok, F.col("_yc") / F.col("depth")).alias("_b"))
     k1, k2, p1, p2, k3 = cam.dist
-    p = p.withColumns({"_a": a, "_b": b}).withColumn("_r", F.col("_a") * F.col("_a") + F.col("_b") * F.col("_b"))
     a, b, r = F.col("_a"), F.col("_b"), F.col("_r")
+    p = _step(p, (a * a + b * b).alias("_r"))
     radial = 1 + r * (k1 + r * (k2 + r * k3))
     u = cam.fx * (a * radial + 2 * p1 * a * b + p2 * (r + 2 * a * a)) + cam.cx
     v = cam.fy * (b * radial + p1 * (r + 2 * b * b) + 2 * p2 * a * b) + cam.cy
-    return p.withColumns({"u": u, "v": v}).drop("_xc", "_yc", "_a", "_b", "_r")
+    return _step(p, u.alias("u"), v.alias("v")).drop("_xc", "_yc", "_a", "_b", "_r")
 
 
 def in_image(cam: Camera):

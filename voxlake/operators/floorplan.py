@@ -123,14 +123,15 @@ def dominant_directions(walls: DataFrame, k: int = 3, apart: float = 12.0, share
 
 
 def line_corners(lines: DataFrame) -> DataFrame:
-    """lines(poly, i, px, py, dx, dy) -> corner i: where line i meets line i + 1 around the ring; null if parallel."""
+    """lines(poly, i, px, py, dx, dy) -> corner i: where line i meets line i + 1 around the ring; the middle of their
+    points if they are near parallel."""
     w = Window.partitionBy("poly").orderBy("i")
     full = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     n = lines.select("*", *[F.coalesce(F.lead(c).over(w), F.first(c).over(full)).alias(f"n_{c}") for c in ("px", "py", "dx", "dy")])
     den = F.col("dx") * F.col("n_dy") - F.col("dy") * F.col("n_dx")
     t = ((F.col("n_px") - F.col("px")) * F.col("n_dy") - (F.col("n_py") - F.col("py")) * F.col("n_dx")) / den
     ok = F.abs(den) >= 1e-6
-    return n.select("poly", "i", F.when(ok, F.col("px") + t * F.col("dx")).alias("x"), F.when(ok, F.col("py") + t * F.col("dy")).alias("y"))
+    return n.select("poly", "i", F.when(ok, F.col("px") + t * F.col("dx")).otherwise((F.col("px") + F.col("n_px")) / 2).alias("x"), F.when(ok, F.col("py") + t * F.col("dy")).otherwise((F.col("py") + F.col("n_py")) / 2).alias("y"))
 
 
 def fit_walls(candidates: DataFrame, least: int = 20, rounds: int = 3) -> DataFrame:

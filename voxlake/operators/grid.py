@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 GRAY = 128 / 255
 
 
@@ -77,8 +79,6 @@ def nearest_means(points: DataFrame, start: float, k: int) -> DataFrame:
     """point_id, mean_d: the mean distance of each point to its k nearest (itself counted; all where there are fewer).
     Points with fewer than k within the radius are searched again within twice the radius, from start on, until the k
     are proven or the radius holds the whole cloud. Points without finite coordinates are left out."""
-    # stored, as each search depends on the one before
-    stored = lambda df: df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
     points = stored(points.where(" AND ".join(f"abs({c}) < double('infinity')" for c in "xyz")).select("point_id", "x", "y", "z"))
     e = points.agg(*[(F.max(c) - F.min(c)).alias(c) for c in "xyz"]).first()
     widest = sum(v * v for v in e) ** 0.5 * (1 + 1e-9) if e.x is not None else 0.0
@@ -98,14 +98,36 @@ def nearest_means(points: DataFrame, start: float, k: int) -> DataFrame:
     return reduce(DataFrame.unionByName, done).select("point_id", "mean_d")
 
 
-def statistical_outliers(points: DataFrame, radius: float, k: int, ratio: float, widen: bool = False) -> DataFrame:
+def statistical_outliers(points: DataFrame, start: float, k: int, ratio: float) -> DataFrame:
     """Points whose mean distance to their k nearest (themselves counted) is at most the mean of all such means plus
-    ratio standard deviations. With widen, radius is where the search for the k nearest starts; else only points
-    within radius are neighbours, and a point with none passes."""
-    if widen:
-        mean = nearest_means(points, radius, k)
-    else:
-        other = points.select(F.col("point_id").alias("other_id"), "x", "y", "z")
-        mean = knn(radius_pairs(points, other, radius, "point_id", "other_id"), "point_id", "other_id", k).groupBy("point_id").agg(F.avg(F.sqrt("d2")).alias("mean_d"))
+    ratio standard deviations. The search for the k nearest starts within start and widens."""
+    mean = nearest_means(points, start, k)
     all_ = mean.agg((F.avg("mean_d") + ratio * F.stddev_samp("mean_d")).alias("most"))
     return mean.join(F.broadcast(all_)).where("mean_d <= most").select("point_id", "mean_d")  # one row
+
+
+def point_normals(points: DataFrame, radius: float, k: int = 30, least: int = 3) -> DataFrame:
+    """point_id, nx, ny, nz: the direction in which the k nearest points within radius spread least; points with fewer
+    than `least` neighbours (themselves counted) are left out. Moments are aggregates; only their matrices are solved."""
+    other = points.select(F.col("point_id").alias("other_id"), "x", "y", "z")
+    near = knn(radius_pairs(points, other, radius, "point_id", "other_id"), "point_id", "other_id", k)
+    pairs = [(a, b) for i, a in enumerate("xyz") for b in "xyz"[i:]]
+    moments = near.groupBy("point_id").agg(F.count(F.lit(1)).alias("n"), *[F.covar_pop(f"r_{a}", f"r_{b}").alias(a + b) for a, b in pairs]).where(F.col("n") >= least)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            m = {p + q: b.column(2 + i).to_numpy(zero_copy_only=False) for i, (p, q) in enumerate(pairs)}
+            matrices = np.stack([np.stack([m[min(p, q) + max(p, q)] for q in "xyz"], 1) for p in "xyz"], 1)
+            normal = np.linalg.eigh(matrices)[1][:, :, 0] if len(matrices) else np.zeros((0, 3))
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(np.ascontiguousarray(normal[:, i])) for i in range(3)]], names=["point_id", "nx", "ny", "nz"])
+
+    kind = points.schema["point_id"].dataType.simpleString()
+    return moments.mapInArrow(run, f"point_id {kind}, nx double, ny double, nz double")
+
+
+def is_colorized(tolerance: float = 1e-6, names=("r", "g", "b"), gray: float = GRAY) -> Column:
+    """Whether a channel differs from gray by more than tolerance."""
+    return reduce(lambda a, b: a | b, [F.abs(F.col(c) - gray) > tolerance for c in names])

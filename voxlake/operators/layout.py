@@ -28,14 +28,15 @@ def parse(lines: DataFrame) -> DataFrame:
     return p.select("layout_id", "line_idx", "kind", F.col("idx").cast("int").alias("idx"), F.nullif("cls", F.lit("")).alias("cls"), F.transform(F.split("_v", ","), lambda x: x.cast("double")).alias("v"))
 
 
-def write(items: DataFrame) -> DataFrame:
-    """items(layout_id, line_idx, kind, cls, v) -> lines with ids counted up within each kind."""
+def write(items: DataFrame, places: int | None = None) -> DataFrame:
+    """items(layout_id, line_idx, kind, cls, v) -> lines with ids counted up within each kind; numbers as short as they
+    read back, or with fixed places."""
     order = F.expr("array_position(array('wall', 'door', 'window', 'bbox'), kind)")
     w = Window.partitionBy("layout_id", "kind").orderBy("line_idx")
     n = items.withColumn("n", F.row_number().over(w) - 1)
     name = F.initcap("kind")
     first = F.when(F.col("kind").isin("door", "window"), F.lit("wall_0,")).when(F.col("kind") == "bbox", F.concat("cls", F.lit(","))).otherwise("")
-    line = F.concat("kind", F.lit("_"), F.col("n").cast("string"), F.lit("="), name, F.lit("("), first, F.array_join(F.transform("v", lambda x: x.cast("string")), ","), F.lit(")"))
+    line = F.concat("kind", F.lit("_"), F.col("n").cast("string"), F.lit("="), name, F.lit("("), first, F.array_join(F.transform("v", lambda x: x.cast("string") if places is None else F.format_string(f"%.{places}f", x)), ","), F.lit(")"))
     return n.select("layout_id", F.row_number().over(Window.partitionBy("layout_id").orderBy(order, "n")).alias("line_idx"), line.alias("line"))
 
 

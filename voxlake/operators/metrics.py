@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .grid import voxel_coherence
+from ..storage import stored
 from .planes import detect_plane, plane_distance
+from .quantile import percentiles
 
 
 def extent(points: DataFrame) -> DataFrame:
@@ -18,7 +20,9 @@ def color_share(points: DataFrame) -> DataFrame:
 
 
 def coherence(points: DataFrame, v: float = 0.03) -> DataFrame:
-    return voxel_coherence(points, v).agg(F.avg("gap").alias("coherence_mean"), F.percentile("gap", F.lit(0.95)).alias("coherence_p95"), F.count(F.lit(1)).alias("mixed_voxels"))
+    gaps = stored(voxel_coherence(points, v))
+    p95 = (percentiles(gaps, "gap", [0.95]) or [None])[0]
+    return gaps.agg(F.avg("gap").alias("coherence_mean"), F.lit(p95).cast("double").alias("coherence_p95"), F.count(F.lit(1)).alias("mixed_voxels"))
 
 
 def wall_rmse(points: DataFrame, band: float = 0.05, walls: int = 3, attempts: int = 15, least: int = 2000) -> list[float]:

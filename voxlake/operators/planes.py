@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.linalg import arc_to_z
+from .quantile import percentiles
 
 
 def plane_distance(n, d: float) -> Column:
@@ -97,15 +98,21 @@ def level(points: DataFrame, normal, bins: int = 100) -> DataFrame:
 
 
 def histogram_floor(points: DataFrame, bins: int = 100) -> DataFrame:
-    """floor_z: the middle of the fullest of equal z bins below the 1st percentile plus 30 % of the range."""
-    b = points.agg(F.percentile("z", F.lit(0.01)).alias("p1"), F.min("z").alias("lo"), F.max("z").alias("top")).select("lo", (F.col("p1") + 0.3 * (F.col("top") - F.col("lo"))).alias("cut"), "p1")
-    low = points.join(F.broadcast(b)).where("z < cut")
-    edge = low.agg(F.max("z").alias("hi"), F.min("z").alias("lo"), F.count(F.lit(1)).alias("n"))
-    k = F.least(F.floor((F.col("z") - F.col("e.lo")) / (F.col("e.hi") - F.col("e.lo")) * bins), F.lit(bins - 1))
-    counted = low.select("z").join(F.broadcast(edge).alias("e")).withColumn("bin", k).groupBy("bin", "lo", "hi").count()
-    best = counted.agg(F.max_by(F.struct("bin", "lo", "hi"), F.struct(F.col("count"), -F.col("bin"))).alias("m"))
-    middle = F.col("m.lo") + (F.col("m.bin") + 0.5) * (F.col("m.hi") - F.col("m.lo")) / bins
-    return edge.join(best).join(b).select(F.when(F.col("n") <= 10, F.col("p1")).otherwise(middle).alias("floor_z"))
+    """floor_z: the middle of the fullest of equal z bins below the 1st percentile plus 30 % of the range, the first on
+    a tie; the 1st percentile where 10 points or fewer lie there; null for an empty cloud."""
+    spark, height = points.sparkSession, points.select("z")
+    one = percentiles(height, "z", [0.0, 0.01, 1.0])
+    floor = None
+    if one:
+        lo, p1, top = one
+        low = height.where(F.col("z") < p1 + 0.3 * (top - lo))
+        hi, n = low.agg(F.max("z"), F.count(F.lit(1))).first()
+        floor = p1
+        if n > 10:
+            place = F.least(F.floor((F.col("z") - lo) / (hi - lo) * bins), F.lit(bins - 1)).cast("int") if hi > lo else F.lit(0)
+            best = low.groupBy(place.alias("bin")).count().agg(F.max_by("bin", F.struct(F.col("count"), -F.col("bin"))).alias("bin")).first().bin
+            floor = lo + (best + 0.5) * (hi - lo) / bins
+    return spark.createDataFrame([(floor,)], "floor_z double")
 
 
 def detect_room(points: DataFrame, band: float = 0.03, horizontal: int = 5, vertical: int = 8, seed: int = 0) -> dict:

@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
+from .quantile import percentiles
+
 
 def density(points: DataFrame, resolution: float, cap: float = 0.9) -> DataFrame:
     """ix, iy, n, v: counts per cell, capped at a percentile of the filled cells, scaled to 0..255 and truncated."""
     cells = points.groupBy(F.floor(F.col("x") / resolution).alias("ix"), F.floor(F.col("y") / resolution).alias("iy")).agg(F.count(F.lit(1)).alias("n"))
-    top = cells.agg(F.percentile("n", F.lit(cap)).alias("top"))
-    return cells.join(F.broadcast(top)).select("ix", "iy", "n", (F.least(F.col("n"), F.col("top")) / F.col("top") * 255).cast("int").alias("v"))  # one row
+    cells = stored(cells)
+    top = (percentiles(cells, "n", [cap]) or [1.0])[0]
+    return cells.select("ix", "iy", "n", (F.least(F.col("n"), F.lit(top)) / top * 255).cast("int").alias("v"))
 
 
 def otsu(cells: DataFrame, n_cells: int | None = None) -> DataFrame:
@@ -46,30 +50,56 @@ def open_(cells: DataFrame, reach: int) -> DataFrame:
     return dilate(erode(cells, reach), reach)
 
 
+#: Cells along each side of a tile that one kernel labels.
+TILE = 512
+
+
 def largest_component(cells: DataFrame) -> DataFrame:
-    """Cells of the largest 8-connected component. A raster is small: it is labelled in one kernel."""
+    """Cells of the largest 8-connected component, the one with the least cell (by ix, then iy) on a tie. Tiles are
+    labelled by themselves, labels that meet at their borders are joined, so no task holds the raster."""
+    own = stored(cells.select(F.col("ix").cast("long").alias("ix"), F.col("iy").cast("long").alias("iy")).distinct())
 
-    def run(batches):
+    def run(pdf):
+        import numpy as np
         import pandas as pd
 
-        grid = pd.concat(list(batches), ignore_index=True)
-        left, best = set(zip(grid.ix, grid.iy)), set()
-        while left:
-            stack = [min(left)]
-            left.discard(stack[0])
-            part = set(stack)
-            while stack:
-                x, y = stack.pop()
-                for p in ((x + a, y + b) for a in (-1, 0, 1) for b in (-1, 0, 1)):
-                    if p in left:
-                        left.discard(p)
-                        part.add(p)
-                        stack.append(p)
-            if len(part) > len(best):
-                best = part
-        yield pd.DataFrame(sorted(best), columns=["ix", "iy"])
-
-    return cells.select("ix", "iy").coalesce(1).mapInPandas(run, "ix long, iy long")
+        at = {p: i for i, p in enumerate(zip(pdf.ix.tolist(), pdf.iy.tolist()))}
+        root = list(range(len(at)))
+
+        def find(i):
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        for (x, y), i in at.items():
+            for p in ((x + 1, y - 1), (x + 1, y), (x + 1, y + 1), (x, y + 1)):
+                if (j := at.get(p)) is not None:
+                    a, b = find(i), find(j)
+                    if a != b:
+                        root[max(a, b)] = min(a, b)
+        label = np.array([find(i) for i in range(len(root))])
+        return pd.DataFrame({"ix": pdf.ix, "iy": pdf.iy, "lx": pdf.ix.to_numpy()[label], "ly": pdf.iy.to_numpy()[label]})
+
+    tiles = own.groupBy(F.expr(f"floor(ix / {TILE})"), F.expr(f"floor(iy / {TILE})")).applyInPandas(run, "ix long, iy long, lx long, ly long")
+    labelled = stored(tiles.withColumn("label", F.struct("lx", "ly")).select("ix", "iy", "label"))
+    border = labelled.where(f"pmod(ix, {TILE}) IN (0, {TILE - 1}) OR pmod(iy, {TILE}) IN (0, {TILE - 1})")
+    moved = border.select("label", F.explode(F.array(*[F.struct((F.col("ix") + a).alias("ix"), (F.col("iy") + b).alias("iy")) for a in (-1, 0, 1) for b in (-1, 0, 1)])).alias("p")).select(F.col("label").alias("a"), "p.ix", "p.iy")
+    links = moved.join(border.withColumnRenamed("label", "b"), ["ix", "iy"]).where("a <> b").select("a", "b").distinct()
+    name = stored(labelled.select("label").distinct().withColumn("to", F.col("label")))
+    if not links.isEmpty():
+        links = stored(links)  # both ways, as cells are neighbours both ways
+        while True:  # the least label travels over the links, twice as far each round by looking up its own label
+            least = links.join(name, F.col("b") == F.col("label")).groupBy("a").agg(F.min("to").alias("near"))
+            step = name.join(least, F.col("label") == F.col("a"), "left").select("label", F.least("to", F.coalesce("near", "to")).alias("to"))
+            jump = step.join(step.select(F.col("label").alias("l2"), F.col("to").alias("t2")), F.col("to") == F.col("l2")).select("label", F.least("to", "t2").alias("to"))
+            after = stored(jump)
+            if after.join(name.withColumnRenamed("to", "was"), "label").where("to <> was").isEmpty():
+                break
+            name = after
+    sized = labelled.join(name, "label").groupBy("to").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("ix", "iy")).alias("first"))
+    best = sized.orderBy(F.col("n").desc(), "first").limit(1).select(F.col("to").alias("best"))
+    return labelled.join(name, "label").join(F.broadcast(best), F.col("to") == F.col("best"), "left_semi").select("ix", "iy")  # one row
 
 
 def slice_image(points: DataFrame, z: float, thickness: float, resolution: float) -> DataFrame:

@@ -15,6 +15,7 @@ from .functions.linalg import apply_matrix, arc_to_z, yaw
 from .operators import camera as cam
 from .operators import floorplan as fp
 from .operators import grid, layout, metrics, ordered, planes, raster
+from .operators.quantile import percentiles
 from .sources.calibration import camera
 
 QUERIES, SQL = {}, {}
@@ -114,10 +115,14 @@ def trapezoid_integral(spark, d):
     return ordered.trapezoid(samples(spark, d), "user_id", "t", "value").select("event_id", F.round(F.col("integral") / 86400, 3).alias("integral"))
 
 
-@query(EV + """, w AS (SELECT user_id, value - 3 * lag(value) OVER o + 3 * lag(value, 2) OVER o - lag(value, 3) OVER o AS j, abs(value - lag(value) OVER o) AS s FROM ev WINDOW o AS (PARTITION BY user_id ORDER BY t))
- SELECT user_id, round(avg(abs(j)), 6) AS mean_jerk, round(quantile_cont(abs(j), 0.95), 6) AS p95_jerk, round(sum(s), 6) AS length FROM w GROUP BY 1""")
+_THIRD = " + ".join(f"({c} - 3 * lag({c}) OVER o + 3 * lag({c}, 2) OVER o - lag({c}, 3) OVER o) ** 2" for c in "xyz")
+_FIRST = " + ".join(f"({c} - lag({c}) OVER o) ** 2" for c in "xyz")
+
+
+@query(PTS + f""", w AS (SELECT label, sqrt({_THIRD}) AS j, sqrt({_FIRST}) AS s FROM pts WINDOW o AS (PARTITION BY label ORDER BY point_id))
+ SELECT label, round(avg(j), 6) AS mean_jerk, round(quantile_cont(j, 0.95), 6) AS p95_jerk, round(sum(s), 6) AS length FROM w GROUP BY 1""")
 def trajectory_jerk(spark, d):
-    return r6(ordered.jerk(samples(spark, d), "user_id", "t", "value"), "mean_jerk", "p95_jerk", "length")
+    return r6(ordered.jerk(points(spark, d), "label", "point_id", "x", "y", "z"), "mean_jerk", "p95_jerk", "length")
 
 
 @query(EV + """, g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t) > 43200 THEN 1 ELSE 0 END AS brk FROM ev),
@@ -210,12 +215,16 @@ def knn_idw(spark, d):
     return r6(grid.idw_colors(gray, p.where("has_color").select("point_id", "x", "y", "z", "r", "g", "b"), 0.12).drop("g", "b"), "r")
 
 
-@query(PTS + """, n AS (SELECT a.point_id, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS dist, row_number() OVER (PARTITION BY a.point_id ORDER BY (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2, b.point_id) AS i
-   FROM pts a JOIN pts b ON (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2 <= 0.15 * 0.15),
+_FAR = [(-1, 5.0, 0.0, 0.0), (-2, -7.0, 3.0, 1.0), (-3, 0.0, 0.0, 9.0)]  # points that stand alone
+
+
+@query(PTS + f""", p AS (SELECT point_id, x, y, z FROM pts UNION ALL SELECT * FROM (VALUES {", ".join(f"({i}, {x}e0, {y}e0, {z}e0)" for i, x, y, z in _FAR)})),
+ n AS (SELECT a.point_id, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS dist, row_number() OVER (PARTITION BY a.point_id ORDER BY (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2, b.point_id) AS i FROM p a, p b),
  m AS (SELECT point_id, avg(dist) AS mean_d FROM n WHERE i <= 10 GROUP BY 1), t AS (SELECT avg(mean_d) + 1.5 * stddev_samp(mean_d) AS most FROM m)
  SELECT point_id, round(mean_d, 6) AS mean_d FROM m, t WHERE mean_d <= most""")
 def statistical_outliers(spark, d):
-    return r6(grid.statistical_outliers(points(spark, d).select("point_id", "x", "y", "z"), 0.15, 10, 1.5), "mean_d")
+    p = points(spark, d).select("point_id", "x", "y", "z").unionByName(spark.createDataFrame(_FAR, "point_id long, x double, y double, z double"))
+    return r6(grid.statistical_outliers(p, 0.15, 10, 1.5), "mean_d")
 
 
 _RING = [(-0.2, -0.2), (0.25, -0.15), (0.05, 0.0), (0.2, 0.2), (-0.15, 0.18)]
@@ -239,9 +248,9 @@ def nearest_segment(spark, d):
 
 
 @query(PTS + " " + " UNION ALL ".join(
-    f"SELECT point_id, {k} AS wall, round((x - ({(a + c) / 2})) * {(c - a) / 0.6} + (y - ({(b + e) / 2})) * {(e - b) / 0.6}, 6) AS along FROM pts WHERE abs((y - ({(b + e) / 2})) * {(c - a) / 0.6} - (x - ({(a + c) / 2})) * {(e - b) / 0.6}) < 0.25" for k, (a, b, c, e) in enumerate(_SEGS)))
+    f"SELECT point_id, {k} AS wall, round((x - ({(a + c) / 2})) * {(c - a) / 0.6} + (y - ({(b + e) / 2})) * {(e - b) / 0.6}, 6) AS along FROM pts WHERE abs((y - ({(b + e) / 2})) * {(c - a) / 0.6} - (x - ({(a + c) / 2})) * {(e - b) / 0.6}) < 0.25 AND abs((x - ({(a + c) / 2})) * {(c - a) / 0.6} + (y - ({(b + e) / 2})) * {(e - b) / 0.6}) < 0.35" for k, (a, b, c, e) in enumerate(_SEGS)))
 def wall_band_join(spark, d):
-    return r6(fp.wall_band(points(spark, d), _SEGS, 0.25, 10.0).select("point_id", "wall", "along"), "along")
+    return r6(fp.wall_band(points(spark, d), _SEGS, 0.25, 0.05).select("point_id", "wall", "along"), "along")
 
 
 CAM = camera([[757.0278, 0, 628.3847], [0, 757.7271, 355.7657], [0, 0, 1]], (0.20348, -0.45501, 0.00026302, -0.00133517, 0.24492526), (1280, 720), (0.2121777, 0, 0, 0.9772311), (0, 0.07, -0.072))
@@ -258,12 +267,15 @@ def camera_project(spark, d):
     return p.select("point_id", F.col("u").try_cast("int").alias("u"), F.col("v").try_cast("int").alias("v"), F.round("depth", 6).alias("depth"))
 
 
-@query(CAM_SQL + """, hit AS (SELECT point_id, CAST(trunc(u) AS INTEGER) AS u, CAST(trunc(v) AS INTEGER) AS v FROM px WHERE u >= 0 AND u < 1280 AND v >= 0 AND v < 720)
- SELECT pts.point_id, h.point_id IS NOT NULL AND h.u % 2 = 0 AS has_color, round(CASE WHEN h.u % 2 = 0 THEN (h.u + h.v) % 256 / 255.0e0 ELSE 128 / 255.0e0 END, 6) AS r FROM pts LEFT JOIN hit h ON h.point_id = pts.point_id""")
+@query(CAM_SQL + """, img AS (SELECT u.range AS u, v.range AS v FROM range(1280) u, range(720) v WHERE (u.range * 7 + v.range * 3) % 5 < 3),
+ hit AS (SELECT point_id, (img.u + img.v) % 256 AS r, img.u * 3 % 256 AS g, img.v * 5 % 256 AS b FROM px JOIN img ON img.u = CAST(trunc(px.u) AS BIGINT) AND img.v = CAST(trunc(px.v) AS BIGINT) WHERE px.u >= 0 AND px.u < 1280 AND px.v >= 0 AND px.v < 720)
+ SELECT pts.point_id, h.point_id IS NOT NULL AS has_color, round(coalesce(h.r, 128) / 255.0e0, 6) AS r, round(coalesce(h.g, 128) / 255.0e0, 6) AS g, round(coalesce(h.b, 128) / 255.0e0, 6) AS b FROM pts LEFT JOIN hit h ON h.point_id = pts.point_id""")
 def pixel_color(spark, d):
     p = cam.project(points(spark, d).drop("r", "g", "b", "has_color"), CAM).withColumn("image_id", F.lit(0))
-    pixels = p.where(cam.in_image(CAM)).select("image_id", F.col("u").try_cast("int").alias("u"), F.col("v").try_cast("int").alias("v")).where("u % 2 = 0").distinct().withColumns({c: (F.col("u") + F.col("v")) % 256 for c in "rgb"})
-    return r6(cam.sample_colors(p, pixels, CAM).select("point_id", "has_color", "r"), "r")
+    at = spark.range(1280 * 720).select(F.lit(0).alias("image_id"), (F.col("id") % 1280).cast("int").alias("u"), F.expr("id div 1280").cast("int").alias("v"))
+    u, v = F.col("u"), F.col("v")
+    pixels = at.where((u * 7 + v * 3) % 5 < 3).withColumns({"r": (u + v) % 256, "g": u * 3 % 256, "b": v * 5 % 256})
+    return r6(cam.sample_colors(p, pixels, CAM).select("point_id", "has_color", "r", "g", "b"), "r", "g", "b")
 
 
 @query(CAM_SQL + """, b AS (SELECT nation.n_nationkey AS det_id, n_nationkey * 50 AS x1, n_nationkey * 25 AS y1, n_nationkey * 50 + 120 AS x2, n_nationkey * 25 + 90 AS y2 FROM nation)
@@ -323,7 +335,10 @@ def raster_erode(spark, d):
     return raster.erode(_dense(spark, d).where("v > 100"), 1)
 
 
-@query()
+@query(_DENSE + """, f AS (SELECT ix, iy FROM v WHERE v > 200),
+ r AS (WITH RECURSIVE w AS (SELECT ix AS sx, iy AS sy, ix, iy FROM f UNION SELECT w.sx, w.sy, f.ix, f.iy FROM w JOIN f ON abs(f.ix - w.ix) <= 1 AND abs(f.iy - w.iy) <= 1) SELECT * FROM w),
+ l AS (SELECT ix, iy, min(row(sx, sy)) AS label FROM r GROUP BY 1, 2), b AS (SELECT label FROM l GROUP BY 1 ORDER BY count(*) DESC, label LIMIT 1)
+ SELECT ix, iy FROM l JOIN b USING (label)""")
 def raster_largest_component(spark, d):
     return raster.largest_component(_dense(spark, d).where("v > 200"))
 
@@ -353,13 +368,20 @@ def confidence_filter(spark, d):
     return layout.confidence_filter(layout.parse(_lines(spark, d)), layout.confidences(side), -0.5).select(F.col("line_idx").cast("long").alias("line_idx"))
 
 
-@query("""WITH k AS (SELECT vec_id, vec_id % 3 AS layout_id, row_number() OVER (PARTITION BY vec_id % 3 ORDER BY vec_id) AS n, embedding AS e FROM embeddings WHERE vec_id % 5 <> 0)
- SELECT layout_id, n AS line_idx, 'bbox_' || (n - 1) || '=Bbox' AS line FROM k""")
+_NUM4 = lambda k: f"format('{{:.4f}}', CAST(e[{k}] AS DOUBLE))"
+
+
+@query(f"""WITH k AS (SELECT vec_id, vec_id % 3 AS layout_id, row_number() OVER (PARTITION BY vec_id % 3 ORDER BY vec_id) AS n, embedding AS e FROM embeddings WHERE vec_id % 5 <> 0)
+ SELECT layout_id, n AS line_idx, 'bbox_' || (n - 1) || '=Bbox(chair,' || {" || ',' || ".join(_NUM4(k) for k in range(1, 8))} || ')' AS line FROM k""")
 def layout_write(spark, d):
-    return layout.write(layout.parse(_lines(spark, d))).select(F.col("layout_id").cast("long").alias("layout_id"), F.col("line_idx").cast("long").alias("line_idx"), F.regexp_extract("line", r"^([^(]*)\(", 1).alias("line"))
+    return layout.write(layout.parse(_lines(spark, d)), places=4).select(F.col("layout_id").cast("long").alias("layout_id"), F.col("line_idx").cast("long").alias("line_idx"), "line")
 
 
-@query()
+@query(PTS + """, o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY point_id) AS i FROM pts),
+ g AS (WITH RECURSIVE s AS (SELECT label, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(id BIGINT, x DOUBLE, y DOUBLE, z DOUBLE)[]) AS kept FROM (SELECT DISTINCT label FROM pts)
+   UNION ALL SELECT s.label, s.i + 1, CASE WHEN len(list_filter(s.kept, lambda k: (k.x - o.x) ** 2 + (k.y - o.y) ** 2 + (k.z - o.z) ** 2 < 0.1 * 0.1)) = 0 THEN list_append(s.kept, {'id': o.point_id, 'x': o.x, 'y': o.y, 'z': o.z}) ELSE s.kept END
+   FROM s JOIN o ON o.label = s.label AND o.i = s.i + 1) SELECT * FROM s),
+ e AS (SELECT label, arg_max(kept, i) AS kept FROM g GROUP BY 1) SELECT label, unnest(list_transform(kept, lambda k: k.id)) AS line_idx FROM e""")
 def greedy_dedup(spark, d):
     return layout.greedy_dedup(points(spark, d).withColumn("line_idx", F.col("point_id")), "label", r=0.1).select("label", "line_idx")
 
@@ -382,12 +404,12 @@ def wireframe_points(spark, d):
     return layout.densify(s, 0.02, "point_id").select("point_id", "k", *[(F.round(c, 6) + 0.0).alias(c) for c in "xz"])
 
 
-@query(PTS + """, g(a, b, c) AS (SELECT a, b, c FROM (VALUES (-1), (1)) p(a), (VALUES (-1), (1)) q(b), (VALUES (-1), (1)) o(c)), k AS (SELECT point_id, round(x + cos(r) * a * 0.1 - sin(r) * b * 0.2, 6) AS x, round(y + sin(r) * a * 0.1 + cos(r) * b * 0.2, 6) AS y, round(z + c * 0.15, 6) AS z FROM pts, g)
- SELECT point_id, count(*) AS corners, round(min(x), 6) AS min_x, round(max(y), 6) AS max_y, round(max(z), 6) AS max_z FROM k GROUP BY 1""")
+@query(PTS + """, g(a, b, c) AS (SELECT a, b, c FROM (VALUES (-1), (1)) p(a), (VALUES (-1), (1)) q(b), (VALUES (-1), (1)) o(c))
+ SELECT point_id, 3 AS edges, round(x + cos(r) * a * 0.1 - sin(r) * b * 0.2, 6) + 0e0 AS x, round(y + sin(r) * a * 0.1 + cos(r) * b * 0.2, 6) + 0e0 AS y, round(z + c * 0.15, 6) + 0e0 AS z FROM pts, g""")
 def box_corners(spark, d):
     boxes = points(spark, d).select(F.col("point_id").alias("box_id"), "x", "y", "z", F.col("r").alias("yaw"), F.lit(0.2).alias("sx"), F.lit(0.4).alias("sy"), F.lit(0.3).alias("sz"))
-    ends = layout.box_edges(boxes).select("box_id", F.explode(F.array("a", "b")).alias("p")).select("box_id", *[F.round(F.col(f"p.{c}"), 6).alias(c) for c in "xyz"])
-    return ends.groupBy(F.col("box_id").alias("point_id")).agg((F.count(F.lit(1)) / 3).cast("long").alias("corners"), F.min("x").alias("min_x"), F.max("y").alias("max_y"), F.max("z").alias("max_z"))
+    ends = layout.box_edges(boxes).select("box_id", F.explode(F.array("a", "b")).alias("p")).select(F.col("box_id").alias("point_id"), *[(F.round(F.col(f"p.{c}"), 6) + 0.0).alias(c) for c in "xyz"])
+    return ends.groupBy("point_id", "x", "y", "z").agg(F.count(F.lit(1)).cast("int").alias("edges"))
 
 
 @query("""WITH a(cls, grp, rank) AS (VALUES ('PROMO', 'offer', 2), ('ECONOMY', 'offer', 1), ('SMALL', 'size', 1))
@@ -404,7 +426,8 @@ def extent(spark, d):
 
 @query(LINE + " SELECT round(quantile_cont(z, 0.01), 6) AS p1, round(quantile_cont(z, 0.05), 6) AS p5, round(quantile_cont(z, 0.95), 6) AS p95, round(quantile_cont(z, 0.98), 6) AS p98 FROM pts")
 def height_percentiles(spark, d):
-    return cloud(spark, d).agg(*[F.round(F.percentile("z", F.lit(p)), 6).alias(n) for n, p in (("p1", 0.01), ("p5", 0.05), ("p95", 0.95), ("p98", 0.98))])
+    found = percentiles(cloud(spark, d), "z", [0.01, 0.05, 0.95, 0.98])
+    return r6(spark.createDataFrame([tuple(found)], "p1 double, p5 double, p95 double, p98 double"), "p1", "p5", "p95", "p98")
 
 
 @query(LINE + ", e AS (SELECT min(z) AS lo, max(z) AS hi FROM pts), h AS (SELECT least(CAST(floor((z - lo) / (hi - lo) * 64) AS INTEGER), 63) AS bin, count(*) AS n FROM pts, e GROUP BY 1) SELECT CAST(r.range AS INTEGER) AS bin, coalesce(n, 0) AS n FROM range(64) r LEFT JOIN h ON h.bin = r.range")
@@ -463,15 +486,14 @@ def tiered_snap(spark, d):
     return fp.tiered_snap(_walls(spark, d), [12.0, 101.0]).select("point_id", "snapped")
 
 
-@query(PTS + """, l AS (SELECT label AS poly, point_id AS i, x AS px, y AS py, cos(point_id) AS dx, sin(point_id) AS dy FROM pts),
- n AS (SELECT *, coalesce(lead(px) OVER w, first_value(px) OVER w) AS qx, coalesce(lead(py) OVER w, first_value(py) OVER w) AS qy, coalesce(lead(dx) OVER w, first_value(dx) OVER w) AS ex, coalesce(lead(dy) OVER w, first_value(dy) OVER w) AS ey FROM l WINDOW w AS (PARTITION BY poly ORDER BY i))
- SELECT poly, i, round(CASE WHEN abs(dx * ey - dy * ex) >= 0.05 THEN px + ((qx - px) * ey - (qy - py) * ex) / (dx * ey - dy * ex) * dx END, 5) AS x FROM n""")
+@query(PTS + """, l AS (SELECT label AS poly, point_id AS i, x AS px, y AS py, cos(radians(45 * (point_id // 3 % 8))) AS dx, sin(radians(45 * (point_id // 3 % 8))) AS dy FROM pts),
+ n AS (SELECT *, coalesce(lead(px) OVER w, first_value(px) OVER w) AS qx, coalesce(lead(py) OVER w, first_value(py) OVER w) AS qy, coalesce(lead(dx) OVER w, first_value(dx) OVER w) AS ex, coalesce(lead(dy) OVER w, first_value(dy) OVER w) AS ey FROM l WINDOW w AS (PARTITION BY poly ORDER BY i)),
+ t AS (SELECT *, abs(dx * ey - dy * ex) < 1e-6 AS flat, ((qx - px) * ey - (qy - py) * ex) / (dx * ey - dy * ex) AS t FROM n)
+ SELECT poly, i, round(CASE WHEN flat THEN (px + qx) / 2 ELSE px + t * dx END, 6) AS x, round(CASE WHEN flat THEN (py + qy) / 2 ELSE py + t * dy END, 6) AS y FROM t""")
 def line_corners(spark, d):
-    p = points(spark, d).select(F.col("label").alias("poly"), F.col("point_id").alias("i"), F.col("x").alias("px"), F.col("y").alias("py"), F.cos("point_id").alias("dx"), F.sin("point_id").alias("dy"))
-    w = Window.partitionBy("poly").orderBy("i")
-    full = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    den = p.select("poly", "i", (F.col("dx") * F.coalesce(F.lead("dy").over(w), F.first("dy").over(full)) - F.col("dy") * F.coalesce(F.lead("dx").over(w), F.first("dx").over(full))).alias("den"))
-    return fp.line_corners(p).join(den, ["poly", "i"]).select("poly", "i", F.round(F.when(F.abs("den") >= 0.05, F.col("x")), 5).alias("x"))
+    turn = F.radians(45 * (F.expr("point_id div 3") % 8))
+    p = points(spark, d).select(F.col("label").alias("poly"), F.col("point_id").alias("i"), F.col("x").alias("px"), F.col("y").alias("py"), F.cos(turn).alias("dx"), F.sin(turn).alias("dy"))
+    return r6(fp.line_corners(p), "x", "y")
 
 
 @query(PTS + ", f AS (SELECT label, avg(z) AS z, count(*) AS n FROM pts GROUP BY 1), lo AS (SELECT arg_min(label, z) AS floor, min(z) AS fz FROM f) SELECT any_value(floor) AS floor, arg_max(label, z) FILTER (z > fz + 0.001) AS ceiling FROM f, lo")
@@ -481,11 +503,11 @@ def floor_ceiling_pick(spark, d):
     return f.join(F.broadcast(lo)).groupBy("floor").agg(F.max_by("label", F.when(F.col("z") > F.col("fz") + 0.001, F.col("z"))).alias("ceiling"))  # one row
 
 
-@query(PTS + " SELECT count(*) AS n, round(avg(x), 6) AS x FROM (SELECT x FROM pts WHERE has_color UNION ALL SELECT x FROM pts g WHERE NOT has_color AND point_id NOT IN (SELECT point_id FROM pts WHERE z > 0))")
+@query(PTS + " SELECT point_id, has_color, round(x, 6) AS x FROM pts WHERE has_color UNION ALL SELECT point_id, has_color, round(x, 6) AS x FROM pts WHERE NOT has_color AND point_id NOT IN (SELECT point_id FROM pts WHERE z > 0)")
 def map_union_difference(spark, d):
     p = points(spark, d)
     kept = p.where("NOT has_color").join(p.where("z > 0").select("point_id"), "point_id", "left_anti")
-    return p.where("has_color").unionByName(kept, allowMissingColumns=True).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("x"), 6).alias("x"))
+    return r6(p.where("has_color").unionByName(kept).select("point_id", "has_color", "x"), "x")
 
 
 @query(PTS + " SELECT '{\"n_points\":' || count(*) || ',\"colored\":' || count(*) FILTER (has_color) || '}' AS json FROM pts")
