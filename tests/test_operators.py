@@ -125,7 +125,7 @@ def test_outliers_of_a_sparse_cloud(spark):
     p = np.concatenate([rng.normal(size=(300, 3)) * 0.05, rng.uniform(-1, 1, (60, 3)), [[9.0, 9, 9], [9, 9, 9], [-7, 0, 0]]])
     far = np.sort(np.linalg.norm(p[:, None] - p[None], axis=2), 1)[:, :10].mean(1)
     keep = far <= far.mean() + 1.5 * far.std(ddof=1)
-    out = {r.point_id: r.mean_d for r in grid.statistical_outliers(frame(spark, p), 0.03, 10, 1.5, widen=True).collect()}
+    out = {r.point_id: r.mean_d for r in grid.statistical_outliers(frame(spark, p), 0.03, 10, 1.5).collect()}
     assert set(out) == set(np.flatnonzero(keep)) and not {360, 361, 362} & set(out)
     assert all(abs(out[i] - far[i]) < 1e-9 for i in out)
     few = [[0.0, 0, 0], [1, 0, 0], [0, 3, 0]]

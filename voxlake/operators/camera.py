@@ -68,6 +68,14 @@ def frustum_points(projected: DataFrame, boxes: DataFrame, cam: Camera, padding:
     return p.join(b, ["_tx", "_ty"]).where(inside).drop("_tx", "_ty", "x1", "y1", "x2", "y2")
 
 
+def mask_points(projected: DataFrame, masks: DataFrame, cam: Camera, width: int, height: int) -> DataFrame:
+    """Pairs of points and detections whose mask holds the point's pixel: masks(det_id, mx, my) are the cells that are on,
+    of rasters of width by height over the whole image; an equi-join on the scaled, clipped cell."""
+    cell = lambda c, size, full: F.least(F.greatest(F.floor(F.col(c) * (size / full)), F.lit(0)), F.lit(size - 1)).cast("int")
+    p = projected.where(in_image(cam)).withColumns({"mx": cell("u", width, cam.width), "my": cell("v", height, cam.height)})
+    return p.join(masks.select("det_id", F.col("mx").cast("int").alias("mx"), F.col("my").cast("int").alias("my")).distinct(), ["mx", "my"]).drop("mx", "my")
+
+
 def depth_mad(points: DataFrame, key: str, value: str, scale: float = 3.0) -> DataFrame:
     """Rows within scale robust deviations of their key's median; keys of under 3 rows or without spread pass."""
     med = points.groupBy(key).agg(F.median(value).alias("med"), F.count(F.lit(1)).alias("cnt"))

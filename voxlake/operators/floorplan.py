@@ -36,6 +36,8 @@ def buffer_width(short_side: Column) -> Column:
 
 def nearest_segment(points: DataFrame, segments: list[tuple[float, float, float, float]]) -> DataFrame:
     """points with wall and d2 of the nearest segment (the first on a tie); degenerate segments are skipped."""
+    if len(segments) > MAX_EDGES:
+        raise ValueError(f"more than {MAX_EDGES} segments")
     x, y, best = F.col("x"), F.col("y"), []
     for k, (ax, ay, bx, by) in enumerate(segments):
         dx, dy = bx - ax, by - ay
@@ -50,6 +52,8 @@ def nearest_segment(points: DataFrame, segments: list[tuple[float, float, float,
 
 def wall_band(points: DataFrame, walls: list[tuple[float, float, float, float]], band: float, slack: float = 0.5) -> DataFrame:
     """A row per point and wall with the point within band across and half the length plus slack along."""
+    if len(walls) > MAX_EDGES:
+        raise ValueError(f"more than {MAX_EDGES} walls")
     x, y, hits = F.col("x"), F.col("y"), []
     for k, (ax, ay, bx, by) in enumerate(walls):
         size = math.hypot(bx - ax, by - ay)
@@ -101,7 +105,9 @@ def angle_mode(walls: DataFrame) -> DataFrame:
 
 def dominant_directions(walls: DataFrame, k: int = 3, apart: float = 12.0, share: float = 0.10, sigma: float = 2.0, prior: float = 0.10) -> list[float]:
     """Directions of a length-weighted histogram of 180 bins with prior weight on right angles and diagonals,
-    smoothed around the circle; the highest first, none nearer than apart to one taken."""
+    smoothed around the circle; the highest first, none nearer than apart to one taken. Walls marked fallback don't vote."""
+    if "fallback" in walls.columns:
+        walls = walls.where("NOT fallback")
     rows = walls.where("length >= 0.3").groupBy(F.pmod(F.floor("angle").cast("int"), F.lit(180)).alias("bin")).agg(F.sum("length").alias("w")).collect()  # 180 rows at most
     h = np.zeros(180)
     for r in rows:
@@ -134,9 +140,10 @@ def line_corners(lines: DataFrame) -> DataFrame:
     return n.select("poly", "i", F.when(ok, F.col("px") + t * F.col("dx")).otherwise((F.col("px") + F.col("n_px")) / 2).alias("x"), F.when(ok, F.col("py") + t * F.col("dy")).otherwise((F.col("py") + F.col("n_py")) / 2).alias("y"))
 
 
-def fit_walls(candidates: DataFrame, least: int = 20, rounds: int = 3) -> DataFrame:
-    """candidates(wall, x, y) -> wall, px, py, dx, dy, inliers, rmse, fallback: a robust line per wall, its band
-    tightened with the spread of its inliers."""
+def fit_walls(candidates: DataFrame, lengths: dict[int, float] | None = None, least: int = 20, rounds: int = 3) -> DataFrame:
+    """candidates(wall, x, y) -> wall, px, py, dx, dy, inliers, rmse, residual, x1, y1, x2, y2, vxx, vxy, vyy, confidence,
+    fallback: a robust line per wall, its band tightened with the spread of its inliers; the inliers' ends and moments
+    about (px, py) stand for them later on. confidence compares extent and number with a wall's expected length."""
 
     def fit(p, w=None):
         w = np.ones(len(p)) if w is None else w
@@ -147,24 +154,29 @@ def fit_walls(candidates: DataFrame, least: int = 20, rounds: int = 3) -> DataFr
             r = np.abs((p - c) @ np.array([-d[1], d[0]]))
             s = max(1.4826 * np.median(r), 1e-9) * 1.345
             w = np.where(r <= s, 1.0, s / np.maximum(r, 1e-12))
-        return c, d, r
+        return c, d, r, q.T @ q
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         p, wall = pdf[["x", "y"]].to_numpy(), pdf.wall.iloc[0]
         if len(p) < least:
-            return pd.DataFrame([[wall, None, None, None, None, len(p), None, True]], columns=cols)
-        c, d, r = fit(p)
+            return pd.DataFrame([[wall, *[None] * 4, len(p), *[None] * 9, 0.0, True]], columns=cols)
+        c, d, r, v = fit(p)
         for _ in range(rounds):
             spread = 1.4826 * np.median(np.abs(r - np.median(r)))
             keep = r < np.clip(2.5 * spread, 0.02, 0.06)
             if keep.sum() < least or keep.all():
                 break
             p = p[keep]
-            c, d, r = fit(p)
-        return pd.DataFrame([[wall, *c, *d, len(p), float(np.sqrt((r * r).mean())), False]], columns=cols)
-
-    cols = ["wall", "px", "py", "dx", "dy", "inliers", "rmse", "fallback"]
-    return candidates.groupBy("wall").applyInPandas(run, "wall int, px double, py double, dx double, dy double, inliers long, rmse double, fallback boolean")
+            c, d, r, v = fit(p)
+        t = (p - c) @ d
+        expected = (lengths or {}).get(int(wall), float(np.ptp(t)))
+        sure = min(1.0, np.ptp(t) / max(0.6 * expected, 0.1)) * min(1.0, len(p) / max(expected / 0.03, 20))
+        return pd.DataFrame([[wall, *c, *d, len(p), float(np.sqrt((r * r).mean())), float(r.mean()), *(c + t.min() * d), *(c + t.max() * d), v[0, 0], v[0, 1], v[1, 1], float(sure), False]], columns=cols)
+
+    doubles = ["px", "py", "dx", "dy", "rmse", "residual", "x1", "y1", "x2", "y2", "vxx", "vxy", "vyy", "confidence"]
+    cols = ["wall", *doubles[:4], "inliers", *doubles[4:], "fallback"]
+    kinds = {"wall": "int", "inliers": "long", "fallback": "boolean"}
+    return candidates.groupBy("wall").applyInPandas(run, ", ".join(f"{c} {kinds.get(c, 'double')}" for c in cols))
 
 
 def convex_hull(p: np.ndarray) -> np.ndarray:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .grid import voxel_coherence
 from ..storage import stored
-from .planes import detect_plane, plane_distance
+from .planes import detect_plane, plane_distance, plane_rmse
 from .quantile import percentiles
 
 
@@ -40,13 +40,21 @@ def wall_rmse(points: DataFrame, band: float = 0.05, walls: int = 3, attempts: i
     return out
 
 
-def floor_flatness(points: DataFrame, band: float = 0.05) -> float | None:
-    """RMSE of the largest plane if it lies within 30 degrees of level."""
+def floor_measure(points: DataFrame, band: float = 0.05, least: int = 1000) -> tuple[float | None, int]:
+    """RMSE and inliers of the largest plane if it lies within 30 degrees of level; (None, 0) for a cloud of under
+    `least` points or another plane."""
+    if points.limit(least).count() < least:
+        return None, 0
     found = detect_plane(points, band)
     if found is None or abs(found[0][2]) < 3**0.5 / 2:
-        return None
-    dist = plane_distance(found[0], found[1])
-    return points.where(F.abs(dist) < band).agg(F.sqrt(F.avg(dist * dist)).alias("e")).first().e
+        return None, 0
+    r = plane_rmse(points, found[0], found[1], band).first()
+    return r.rmse, r.inliers
+
+
+def floor_flatness(points: DataFrame, band: float = 0.05) -> float | None:
+    """RMSE of the largest plane if it lies within 30 degrees of level."""
+    return floor_measure(points, band, 3)[0]
 
 
 def as_json(row: DataFrame) -> DataFrame:

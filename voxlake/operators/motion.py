@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -10,52 +12,81 @@ from pyspark.sql import functions as F
 from ..functions.linalg import apply_matrix, quaternion, rotate_by_vector
 
 
-def rotation_angles(points: DataFrame, imu: DataFrame, reference: str = "end", bucket: float = 1e-3) -> DataFrame:
-    """scan_id, bucket, wx, wy, wz: the integral of the angular rate from the bucket's time to the scan's reference.
+def rotation_angles(points: DataFrame, imu: DataFrame, reference: str = "end", bucket: float = 1e-3, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, scan_id, bucket, wx, wy, wz: the integral of the angular rate from the bucket's time to the scan's reference.
 
-    The rate between samples is linear; outside the samples it adds nothing, and a scan that no sample meets is
-    left out. Distinct buckets, not points, meet the samples: one union and a running sum per axis."""
+    The rate between samples is linear, and none beyond them; from a bucket to a reference that both lie on one side of
+    all samples, or with one sample alone, the nearest one's rate holds. A scan that no sample meets is left out. by names
+    columns of both tables, such as the bag, whose samples belong together. Distinct buckets, not points, meet the samples:
+    one union and a running sum per axis."""
     if reference not in ("start", "end"):
         raise ValueError("reference is start or end")
-    buckets = points.select("scan_id", "stamp", F.rint(F.col("t_off") / bucket).cast("long").alias("bucket"), "t_off")
-    scan = buckets.groupBy("scan_id", "stamp").agg(F.min("t_off").alias("lo"), F.max("t_off").alias("hi")).where("hi > lo")
-    ask = buckets.select("scan_id", "bucket").distinct().join(scan, "scan_id")
-    ref = F.col("stamp") + F.col("hi" if reference == "end" else "lo")
-    times = ask.select("scan_id", "bucket", (F.col("stamp") + F.col("bucket") * bucket).alias("t")).unionByName(scan.select("scan_id", F.lit(None).cast("long").alias("bucket"), ref.alias("t")))
-    one = Window.partitionBy("one").orderBy("t", "kind")
-    s = imu.select("t", "gx", "gy", "gz").groupBy("t").agg(*[F.avg(c).alias(c) for c in ("gx", "gy", "gz")])
-    w = Window.partitionBy(F.lit(1)).orderBy("t")  # one device's samples; partition by device for more
-    s = s.withColumn("t2", F.lead("t").over(w))
-    for c in ("gx", "gy", "gz"):
-        s = s.withColumn(f"{c}2", F.lead(c).over(w))
-        s = s.withColumn(f"i{c}", F.coalesce(F.sum((F.col(c) + F.col(f"{c}2")) / 2 * (F.col("t2") - F.col("t"))).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    state = F.struct("t", "t2", *[f"{p}{c}{q}" for c in ("gx", "gy", "gz") for p, q in (("", ""), ("", "2"), ("i", ""))])
-    both = times.select(F.lit(1).alias("one"), "t", F.lit(1).alias("kind"), "scan_id", "bucket", F.lit(None).cast(s.select(state.alias("s")).schema["s"].dataType).alias("s")).unionByName(s.select(F.lit(1).alias("one"), "t", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("scan_id"), F.lit(None).cast("long").alias("bucket"), state.alias("s")))
-    at = both.withColumn("s", F.last("s", True).over(one.rowsBetween(Window.unboundedPreceding, 0))).where("kind = 1")
+    by, axes = list(by), ("gx", "gy", "gz")
+    scans = [*by, "scan_id"]
+    buckets = points.select(*scans, "stamp", F.rint(F.col("t_off") / bucket).cast("long").alias("bucket"), "t_off")
+    scan = buckets.groupBy(*scans, "stamp").agg(F.min("t_off").alias("lo"), F.max("t_off").alias("hi")).where("hi > lo")
+    ref = (F.col("stamp") + F.col("hi" if reference == "end" else "lo")).alias("ref")
+    ask = buckets.select(*scans, "bucket").distinct().join(scan, scans)
+    times = ask.select(*scans, "bucket", (F.col("stamp") + F.col("bucket") * bucket).alias("t")).unionByName(scan.select(*scans, F.lit(None).cast("long").alias("bucket"), ref.alias("t")))
+    own = by or [F.lit(1)]
+    s = imu.select(*by, "t", *axes).groupBy(*by, "t").agg(*[F.avg(c).alias(c) for c in axes])
+    w = Window.partitionBy(*own).orderBy("t")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    s = s.withColumns({f"{c}2": F.lead(c).over(w) for c in ("t", *axes)})
+    s = s.withColumns({f"i{c}": F.coalesce(F.sum((F.col(c) + F.col(f"{c}2")) / 2 * (F.col("t2") - F.col("t"))).over(before), F.lit(0.0)) for c in axes})
+    state = F.struct("t", "t2", *[x for c in axes for x in (c, f"{c}2", f"i{c}")])
+    none = F.lit(None).cast(s.select(state.alias("s")).schema["s"].dataType)
+    null = F.lit(None).cast("long")
+    kind = points.schema["scan_id"].dataType
+    both = times.select(*scans, "t", F.lit(1).alias("kind"), "bucket", none.alias("s")).unionByName(s.select(*by, F.lit(None).cast(kind).alias("scan_id"), "t", F.lit(0).alias("kind"), null.alias("bucket"), state.alias("s")))
+    at = both.withColumn("s", F.last("s", True).over(Window.partitionBy(*own).orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0))).where("kind = 1")
     ahead = F.coalesce(F.least(F.col("t"), F.col("s.t2")), F.col("s.t")) - F.col("s.t")
     theta = []
-    for c in ("gx", "gy", "gz"):
+    for k, c in enumerate(axes):
         slope = F.coalesce((F.col(f"s.{c}2") - F.col(f"s.{c}")) / (F.col("s.t2") - F.col("s.t")), F.lit(0.0))
-        theta.append(F.coalesce(F.col(f"s.i{c}") + ahead * F.col(f"s.{c}") + slope * ahead * ahead / 2, F.lit(0.0)))
-    at = at.select("scan_id", "bucket", *[x.alias(f"th{k}") for k, x in enumerate(theta)])
-    end = at.where("bucket IS NULL").select("scan_id", *[F.col(f"th{k}").alias(f"end{k}") for k in range(3)])
-    span = imu.agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
-    met = scan.join(F.broadcast(span)).where((F.col("stamp") + F.col("lo") <= F.col("t1")) & (F.col("stamp") + F.col("hi") >= F.col("t0"))).select("scan_id")  # one row
-    return at.where("bucket IS NOT NULL").join(end, "scan_id").join(met, "scan_id").select("scan_id", "bucket", *[(F.col(f"end{k}") - F.col(f"th{k}")).alias(n) for k, n in enumerate(("wx", "wy", "wz"))])
-
-
-def deskew(points: DataFrame, imu: DataFrame, reference: str = "end", bucket: float = 1e-3) -> DataFrame:
+        theta.append(F.coalesce(F.col(f"s.i{c}") + ahead * F.col(f"s.{c}") + slope * ahead * ahead / 2, F.lit(0.0)).alias(f"th{k}"))
+    at = at.select(*scans, "bucket", "t", *theta)
+    end = at.where("bucket IS NULL").select(*scans, F.col("t").alias("ref"), *[F.col(f"th{k}").alias(f"end{k}") for k in range(3)])
+    rates = [f(F.struct(*axes), F.col("t")).alias(n) for f, n in ((F.min_by, "first"), (F.max_by, "last"))]
+    span = imu.groupBy(*by).agg(F.min("t").alias("t0"), F.max("t").alias("t1"), *rates).where("t0 IS NOT NULL")  # a row a bag
+    met = (scan.join(span, by) if by else scan.join(F.broadcast(span))).where((F.col("stamp") + F.col("lo") <= F.col("t1")) & (F.col("stamp") + F.col("hi") >= F.col("t0"))).select(*scans, "t0", "t1", "first", "last")
+    rows = at.where("bucket IS NOT NULL").join(end, scans).join(met, scans)
+    early, late = F.greatest("t", "ref") <= F.col("t0"), F.least("t", "ref") >= F.col("t1")
+    turn = lambda k, c: F.when(early, F.col("first")[c] * (F.col("ref") - F.col("t"))).when(late | (F.col("t0") == F.col("t1")), F.col("last")[c] * (F.col("ref") - F.col("t"))).otherwise(F.col(f"end{k}") - F.col(f"th{k}"))
+    return rows.select(*scans, "bucket", *[turn(k, c).alias(n) for k, (c, n) in enumerate(zip(axes, ("wx", "wy", "wz")))])
+
+
+def deskew(points: DataFrame, imu: DataFrame, reference: str = "end", bucket: float = 1e-3, by: tuple[str, ...] = ()) -> DataFrame:
     """Points as if all were measured at the scan's reference time. Scans that no sample meets, and scans whose
-    points share one time, stay as they are."""
-    turn = rotation_angles(points, imu, reference, bucket)
-    p = points.withColumn("bucket", F.rint(F.col("t_off") / bucket).cast("long")).join(turn, ["scan_id", "bucket"], "left")
+    points share one time, stay as they are; unmet_scans tells the former."""
+    turn = rotation_angles(points, imu, reference, bucket, by)
+    p = points.withColumn("bucket", F.rint(F.col("t_off") / bucket).cast("long")).join(turn, [*by, "scan_id", "bucket"], "left")
     x, y, z = rotate_by_vector(("x", "y", "z"), tuple(-F.coalesce(F.col(c), F.lit(0.0)) for c in ("wx", "wy", "wz")))
     return p.withColumns({"_x": x, "_y": y, "_z": z}).select(*[F.col(f"_{c}").alias(c) if c in "xyz" else F.col(c) for c in points.columns])
 
 
+def unmet_scans(points: DataFrame, imu: DataFrame, by: tuple[str, ...] = ()) -> int:
+    """Scans that no sample meets, which deskew leaves raw; warns if there are any."""
+    by = list(by)
+    scan = points.groupBy(*by, "scan_id", "stamp").agg(F.min("t_off").alias("lo"), F.max("t_off").alias("hi"))
+    span = imu.groupBy(*by).agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
+    both = scan.join(span, by, "left") if by else scan.join(F.broadcast(span))  # one row
+    n = both.where(~F.coalesce((F.col("stamp") + F.col("lo") <= F.col("t1")) & (F.col("stamp") + F.col("hi") >= F.col("t0")), F.lit(False))).count()
+    if n:
+        warnings.warn(f"imu samples missing for deskew of {n} scans, which stay raw", stacklevel=2)
+    return n
+
+
 def deskew_kernel(t_off: np.ndarray, xyz: np.ndarray, stamp: float, imu_t: np.ndarray, gyro: np.ndarray, reference: str = "end", bucket: float = 1e-3) -> np.ndarray:
     """One scan in memory, the same definition: for grouped kernels and for measuring the arithmetic alone."""
-    if not len(t_off) or not len(imu_t) or np.ptp(t_off) == 0 or stamp + t_off.min() > imu_t[-1] or stamp + t_off.max() < imu_t[0]:
+    if reference not in ("start", "end"):
+        raise ValueError("reference is start or end")
+    if not len(t_off):
+        return xyz
+    if not len(imu_t) or stamp + t_off.min() > imu_t[-1] or stamp + t_off.max() < imu_t[0]:
+        warnings.warn("imu samples missing for deskew, the scan stays raw", stacklevel=2)
+        return xyz
+    if np.ptp(t_off) == 0:
         return xyz
     area = np.concatenate([np.zeros((1, 3)), np.cumsum((gyro[1:] + gyro[:-1]) / 2 * np.diff(imu_t)[:, None], 0)])
     k, inv = np.unique(np.rint(t_off / bucket), return_inverse=True)
@@ -70,7 +101,12 @@ def deskew_kernel(t_off: np.ndarray, xyz: np.ndarray, stamp: float, imu_t: np.nd
         return area[i] + gyro[i] * h[:, None] + slope * (h * h / 2)[:, None]
 
     end = stamp + (t_off.max() if reference == "end" else t_off.min())
-    w = -(theta(np.array([end])) - theta(stamp + k * bucket))
+    t = stamp + k * bucket
+    w = theta(np.array([end])) - theta(t)
+    early, late = np.maximum(t, end) <= imu_t[0], np.minimum(t, end) >= imu_t[-1]
+    if len(imu_t) == 1:
+        early = np.ones(len(t), bool)
+    w = -np.where(early[:, None], gyro[:1] * (end - t)[:, None], np.where(late[:, None], gyro[-1:] * (end - t)[:, None], w))
     a = np.linalg.norm(w, axis=1, keepdims=True)
     u = (w / np.where(a > 0, a, 1))[inv]
     a = a[inv]
@@ -102,40 +138,70 @@ def diverged(poses: DataFrame, most: float = 100.0) -> DataFrame:
     return poses.agg(F.coalesce(F.bool_or(bad) | e[0] | e[1] | e[2], F.lit(False)).alias("diverged"))
 
 
+_AROUND = np.array([(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)])
+
+
+class NearGrid:
+    """Points in cells of the search radius, sorted by cell: neighbours of many points at once."""
+
+    def __init__(self, target: np.ndarray, reach: float):
+        self.target, self.reach = target, reach
+        self.low = np.floor(target.min(0) / reach).astype(np.int64) - 2
+        self.span = np.floor(target.max(0) / reach).astype(np.int64) - self.low + 3
+        self.order = np.argsort(self._key(np.floor(target / reach).astype(np.int64)), kind="stable")
+        self.keys = self._key(np.floor(target[self.order] / reach).astype(np.int64))
+
+    def _key(self, cell: np.ndarray) -> np.ndarray:
+        c = cell - self.low
+        key = (c[..., 0] * self.span[1] + c[..., 1]) * self.span[2] + c[..., 2]
+        return np.where(((c >= 0) & (c < self.span)).all(-1), key, -1)
+
+    def pairs(self, source: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(index in source, index in target) of the k nearest within reach, by source and then distance."""
+        out = []
+        for at in range(0, len(source), 4096):
+            p = source[at : at + 4096]
+            key = self._key(np.floor(p / self.reach).astype(np.int64)[:, None, :] + _AROUND[None])
+            lo, hi = np.searchsorted(self.keys, key, side="left"), np.searchsorted(self.keys, key, side="right")
+            n = np.where(key >= 0, hi - lo, 0).ravel()
+            i = np.repeat(np.repeat(np.arange(len(p)), len(_AROUND)), n)
+            j = self.order[np.repeat(lo.ravel() - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            d = ((p[i] - self.target[j]) ** 2).sum(1)
+            near = d <= self.reach * self.reach
+            i, j, d = i[near], j[near], d[near]
+            by = np.lexsort((j, d, i))
+            i, j = i[by], j[by]
+            first = np.arange(len(i)) - np.searchsorted(i, i) < k
+            out.append((i[first] + at, j[first]))
+        return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
+
+
+def normals_of(points: np.ndarray, reach: float, k: int = 12) -> np.ndarray:
+    """Unit directions of least spread of each point's k nearest, zero for under 3."""
+    i, j = NearGrid(points, reach).pairs(points, k)
+    n = np.bincount(i, minlength=len(points))
+    at = np.cumsum(n) - n
+    mean = np.add.reduceat(points[j], at) / n[:, None]  # every point is its own neighbour
+    q = points[j] - mean[i]
+    spread = np.add.reduceat(q[:, :, None] * q[:, None, :], at)
+    out = np.linalg.eigh(spread)[1][:, :, 0]
+    out[n < 3] = 0
+    return out
+
+
 def align_scan(source: np.ndarray, target: np.ndarray, guess: np.ndarray, voxel: float = 0.1, rounds: int = 30):
     """Point-to-plane alignment of a scan to a map: pose, fitness, success. Correspondences within 3 voxels through
-    a hash grid; under 10 points give the guess."""
+    a grid; under 10 points give the guess."""
     if len(source) < 10 or len(target) < 10:
         return guess, 0.0, False
-    reach = 3 * voxel
-    grid: dict = {}
-    for i, c in enumerate(map(tuple, np.floor(target / reach).astype(int))):
-        grid.setdefault(c, []).append(i)
-    around = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]
-
-    def near(p, k=1):
-        cell = np.floor(p / reach).astype(int)
-        own = [i for o in around for i in grid.get((cell[0] + o[0], cell[1] + o[1], cell[2] + o[2]), ())]
-        if not own:
-            return []
-        d = ((target[own] - p) ** 2).sum(1)
-        best = np.argsort(d)[:k]
-        return [own[i] for i in best if d[i] <= reach * reach]
-
-    normals = np.zeros_like(target)
-    for i, p in enumerate(target):
-        own = near(p, 12)
-        if len(own) >= 3:
-            q = target[own] - target[own].mean(0)
-            normals[i] = np.linalg.eigh(q.T @ q)[1][:, 0]
+    grid, normals = NearGrid(target, 3 * voxel), normals_of(target, 3 * voxel)
     pose, fitness = guess.copy(), 0.0
     for _ in range(rounds):
         moved = source @ pose[:3, :3].T + pose[:3, 3]
-        pairs = [(i, m[0]) for i, p in enumerate(moved) if (m := near(p))]
-        fitness = len(pairs) / len(source)
-        if len(pairs) < 6:
+        i, j = grid.pairs(moved, 1)
+        fitness = len(i) / len(source)
+        if len(i) < 6:
             break
-        i, j = np.array(pairs).T
         a = np.hstack([np.cross(moved[i], normals[j]), normals[j]])
         b = ((target[j] - moved[i]) * normals[j]).sum(1)
         step = np.linalg.lstsq(a, b, rcond=None)[0]

@@ -7,6 +7,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.linalg import arc_to_z
+from ..functions.polygon import signed_area
+from ..storage import stored
+from .floorplan import convex_hull
+from .grid import packed, point_normals, voxel_downsample
 from .quantile import percentiles
 
 
@@ -115,20 +119,59 @@ def histogram_floor(points: DataFrame, bins: int = 100) -> DataFrame:
     return spark.createDataFrame([(floor,)], "floor_z double")
 
 
-def detect_room(points: DataFrame, band: float = 0.03, horizontal: int = 5, vertical: int = 8, seed: int = 0) -> dict:
-    """Floor (lowest horizontal plane), ceiling (highest one over 1 m above it) and walls of a levelled cloud."""
-    flat, walls, rest = [], [], points
-    least = max(int(0.01 * points.count()), 50)
-    for k in range(horizontal + vertical):
-        found = detect_plane(rest, band if k < horizontal else 1.5 * band, seed=seed + k)
+def peel(points: DataFrame, band: float, most: int, least: int, seed: int = 0):
+    """Yield up to `most` planes, each found among the points that those before left."""
+    rest = points
+    for k in range(most):
+        found = detect_plane(rest, band, seed=seed + k)
         if found is None or found[3] < least:
-            break
-        n, d = found[0], found[1]
-        if abs(n[2]) > 0.8:
-            flat.append(found)
-        elif abs(n[2]) < 0.3 and len(walls) < vertical:
-            walls.append(found)
-        rest = rest.where(F.abs(plane_distance(n, d)) >= band)
-    floor = min(flat, key=lambda p: p[2][2], default=None)
-    ceiling = max((p for p in flat if floor and p[2][2] > floor[2][2] + 1.0), key=lambda p: p[2][2], default=None)
-    return {"floor": floor, "ceiling": ceiling, "walls": walls}
+            return
+        yield found
+        rest = rest.where(F.abs(plane_distance(found[0], found[1])) >= band)
+
+
+def detect_room(points: DataFrame, voxel: float = 0.03, walls: int = 8, seed: int = 0) -> dict:
+    """Floor (lowest level plane), ceiling (highest one over 1 m above it) and walls of a levelled cloud. Points of the
+    downsampled cloud are parted by their normals; level and upright ones are peeled by themselves."""
+    cloud = voxel_downsample(points, voxel).select(packed(F.col("vx"), F.col("vy"), F.col("vz")).alias("point_id"), "x", "y", "z")
+    cloud = stored(cloud)
+    out: dict = {"floor": None, "ceiling": None, "walls": []}
+    if cloud.count() < 100:
+        return out
+    graded = stored(cloud.join(point_normals(cloud, 2 * voxel), "point_id").select("x", "y", "z", F.abs("nz").alias("tilt")))
+    level_, upright = graded.where("tilt > 0.8"), graded.where("tilt < 0.3")
+    if level_.count() > 100:
+        flat = sorted(peel(level_, voxel, 5, 100, seed), key=lambda p: p[2][2])
+        if flat:
+            out["floor"] = flat[0]
+            out["ceiling"] = max((p for p in flat[1:] if p[2][2] > flat[0][2][2] + 1.0), key=lambda p: p[2][2], default=None)
+    if (n := upright.count()) > 100:
+        out["walls"] = [p for p in peel(upright, 1.5 * voxel, walls, max(n // 100, 50), seed + 100) if abs(p[0][2]) <= 0.3]
+    return out
+
+
+def hull_area(points: DataFrame) -> float:
+    """Area of the convex hull of x and y: each task keeps its own hull, whose corners meet at the end."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        held = np.zeros((0, 2))
+        for b in batches:
+            xy = np.stack([b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)], 1)
+            held = convex_hull(np.concatenate([held, xy[np.isfinite(xy).all(1)]]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(held[:, k])) for k in range(2)], names=["x", "y"])
+
+    corners = points.select(F.col("x").cast("double"), F.col("y").cast("double")).where("x IS NOT NULL AND y IS NOT NULL").mapInArrow(run, "x double, y double").collect()
+    hull = convex_hull(np.array([tuple(r) for r in corners]).reshape(-1, 2))
+    return abs(signed_area(hull)) if len(hull) > 2 else 0.0
+
+
+def pick_ceiling(points: DataFrame, room: dict, band: float = 0.15, ratio: float = 1.25) -> tuple:
+    """(ceiling, floor, whether they were swapped): the plane called floor is the ceiling if the hull of the points near
+    it is larger by more than ratio, as furniture hides parts of a floor but not of a ceiling."""
+    ceiling, floor = room["ceiling"], room["floor"]
+    if ceiling is None or floor is None:
+        return ceiling, floor, False
+    above, below = (hull_area(points.where(F.abs(plane_distance(p[0], p[1])) < band)) for p in (ceiling, floor))
+    return (floor, ceiling, True) if below > ratio * above else (ceiling, floor, False)

@@ -17,9 +17,10 @@ def density(points: DataFrame, resolution: float, cap: float = 0.9) -> DataFrame
     return cells.select("ix", "iy", "n", (F.least(F.col("n"), F.lit(top)) / top * 255).cast("int").alias("v"))
 
 
-def otsu(cells: DataFrame, n_cells: int | None = None) -> DataFrame:
-    """One row: the value v that splits cells(v in 0..255) with the largest variance between both parts."""
-    h = cells.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+def otsu(cells: DataFrame) -> DataFrame:
+    """One row: the value v that splits cells(v in 0..255) with the largest variance between both parts. A column n, if
+    there is one, tells how many cells a row stands for."""
+    h = cells.groupBy("v").agg((F.sum("n") if "n" in cells.columns and "ix" not in cells.columns else F.count(F.lit(1))).alias("n"))
     w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)  # 256 rows at most
     c = h.select("v", F.sum("n").over(w).alias("n0"), F.sum(F.col("n") * F.col("v")).over(w).alias("s0"))
     t = h.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("v")).alias("s"))

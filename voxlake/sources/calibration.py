@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import SparkSession
 
 from ..operators.camera import Camera
+from ..storage import load_file
 
 
 def rotation_of(w: float, x: float, y: float, z: float) -> np.ndarray:
@@ -27,3 +29,20 @@ def load_yaml(text: str | None) -> dict | None:
     import yaml
 
     return yaml.safe_load(text)
+
+
+def load_calibration(intrinsics: str | None, extrinsics: str | None) -> Camera | None:
+    """A camera from its two documents (text); None if one is missing, and clouds stay gray."""
+    inner, outer = load_yaml(intrinsics), load_yaml(extrinsics)
+    if inner is None or outer is None:
+        return None
+    m = inner["camera_matrix"]["data"]
+    q, t = outer["rotation"], outer["translation"]
+    k1, k2, p1, p2, k3 = (*inner["distortion_coefficients"]["data"], 0.0, 0.0, 0.0, 0.0, 0.0)[:5]
+    return camera([m[0:3], m[3:6], m[6:9]], (k1, k2, p1, p2, k3), (inner["image_width"], inner["image_height"]), (q["w"], q["x"], q["y"], q["z"]), (t["x"], t["y"], t["z"]))
+
+
+def read_calibration(spark: SparkSession, folder: str) -> Camera | None:
+    """The camera of a folder's intrinsics.yaml and extrinsics.yaml, None unless both are there."""
+    text = [load_file(spark, f"{folder.rstrip('/')}/{name}.yaml") for name in ("intrinsics", "extrinsics")]
+    return load_calibration(*[x and x.decode() for x in text])

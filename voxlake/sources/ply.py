@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import load_file, save_file
+
 # Property types of the format.
 _TYPES = {"char": "i1", "int8": "i1", "uchar": "u1", "uint8": "u1", "short": "i2", "int16": "i2", "ushort": "u2", "uint16": "u2", "int": "i4", "int32": "i4", "uint": "u4", "uint32": "u4", "float": "f4", "float32": "f4", "double": "f8", "float64": "f8"}
 
@@ -78,3 +80,16 @@ def has_comment(files: DataFrame, prefix: str) -> DataFrame:
     """path and whether a comment of the header starts with prefix: the mark of a cloud already processed."""
     head = F.split(F.decode(F.substring("content", 1, 4096), "ISO-8859-1"), "end_header")[0]
     return files.select("path", F.exists(F.split(head, "\n"), lambda x: x.startswith(f"comment {prefix}")).alias("marked"))
+
+
+def write_ply(points: DataFrame, path: str, columns=("x", "y", "z"), comments=()) -> int:
+    """One file of a cloud, in the order of point_id; returns its points. A file is one task's and then the driver's, up
+    to storage.MAX_FILE; larger clouds are kept as tables."""
+    whole = ply_files(points.withColumn("_file", F.lit(0)), "_file", columns, comments).first()
+    content = bytes(whole.content) if whole else encode({c: np.zeros(0) for c in columns}, comments)
+    save_file(points.sparkSession, path, content)
+    return len(decode(content)[0]) if whole else 0
+
+
+def comments_of(spark: SparkSession, path: str) -> list[str]:
+    return decode(load_file(spark, path))[1]
