@@ -40,7 +40,7 @@ def rotation_angles(points: DataFrame, imu: DataFrame, reference: str = "end", b
     kind = points.schema["scan_id"].dataType
     both = times.select(*scans, "t", F.lit(1).alias("kind"), "bucket", none.alias("s")).unionByName(s.select(*by, F.lit(None).cast(kind).alias("scan_id"), "t", F.lit(0).alias("kind"), null.alias("bucket"), state.alias("s")))
     at = both.withColumn("s", F.last("s", True).over(Window.partitionBy(*own).orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0))).where("kind = 1")
-    ahead = F.coalesce(F.least(F.col("t"), F.col("s.t2")), F.col("s.t")) - F.col("s.t")
+    ahead = F.when(F.col("s.t2").isNotNull(), F.least(F.col("t"), F.col("s.t2")) - F.col("s.t")).otherwise(F.when(F.col("s").isNotNull(), F.lit(0.0)))
     theta = []
     for k, c in enumerate(axes):
         slope = F.coalesce((F.col(f"s.{c}2") - F.col(f"s.{c}")) / (F.col("s.t2") - F.col("s.t")), F.lit(0.0))

@@ -10,12 +10,13 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions.binning import bin_of, local_maxima
-from .functions.linalg import apply_matrix, arc_to_z, yaw
+from .functions.binning import bin_of, local_maxima, peaks, top_peaks
+from .functions.linalg import apply_matrix, arc_to_z, norm, yaw
 from .operators import camera as cam
 from .operators import floorplan as fp
-from .operators import grid, layout, metrics, ordered, planes, raster
+from .operators import grid, layout, metrics, motion, ordered, planes, raster
 from .operators.quantile import percentiles
+from .plans import floor_plan, layouts
 from .sources.calibration import camera
 
 QUERIES, SQL = {}, {}
@@ -527,3 +528,99 @@ def pose_sanity(spark, d):
  p AS (SELECT coalesce(min(bin) FILTER (n > l AND n > q AND n >= greatest(3, 0.15 * most)), arg_max(bin, n * 1000000 - bin)) AS b FROM w) SELECT point_id FROM pts, p, e WHERE z >= lo + (b + 0.5e0) * (hi - lo) / k - 0.3""")
 def ceiling_slice(spark, d):
     return fp.ceiling_slice(cloud(spark, d)).select("point_id")
+
+
+_ROOM = [(-0.3, -0.3), (0.3, -0.3), (0.3, 0.0), (0.0, 0.0), (0.0, 0.3), (-0.3, 0.3)]
+
+
+@query(PTS + """ SELECT point_id FROM pts WHERE z BETWEEN -0.15 AND 0.2 AND x BETWEEN -0.38 AND 0.38 AND y BETWEEN -0.38 AND 0.38 AND NOT (x > 0.08 AND y > 0.08)""")
+def crop_room(spark, d):
+    return floor_plan.crop_to_room(points(spark, d).where("abs(x) <> 0.38 AND abs(y) <> 0.38"), _ROOM, -0.05, 0.1)[0].select("point_id")
+
+
+@query(PTS + """, r AS (SELECT * FROM pts WHERE z BETWEEN -0.15 AND 0.2 AND x BETWEEN -0.38 AND 0.38 AND y BETWEEN -0.38 AND 0.38 AND NOT (x > 0.08 AND y > 0.08))
+ SELECT CAST(round(0.76 * 0.76 - 0.3 * 0.3, 2) AS DOUBLE) AS room_area_m2, 0.08e0 AS buffer_m, (SELECT count(*) FROM pts) AS n_in, count(*) AS n_out FROM r""")
+def crop_counts(spark, d):
+    info = floor_plan.crop_to_room(points(spark, d), _ROOM, -0.05, 0.1)[1]
+    return spark.createDataFrame([(info["room_area_m2"], info["buffer_m"], info["n_in"], info["n_out"])], "room_area_m2 double, buffer_m double, n_in long, n_out long")
+
+
+def _items(spark, d):
+    """Walls, doors, windows and boxes of scenes by label, in three layouts each."""
+    p = points(spark, d).withColumn("i", F.col("point_id") % 7)
+    kind = F.when(F.col("i") == 0, "wall").when(F.col("i") == 1, "door").when(F.col("i") == 2, "window").otherwise("bbox")
+    num = lambda *e: F.array(*[F.round(x, 4).cast("double") for x in e])
+    x, y, z = (F.col(c) for c in "xyz")
+    v = F.when(F.col("i") == 0, num(x, y, z, x + 0.5, y, z, F.lit(2.5), F.lit(0.1))).when(F.col("i") < 3, num(x, y, z, F.lit(0.9), F.lit(2.0))).otherwise(num(x, y, z, F.lit(0.0), F.lit(0.2), F.lit(0.4), F.lit(0.3)))
+    cls = F.when(F.col("i") >= 3, F.when(F.col("i") < 5, "sofa").otherwise("lamp"))
+    return p.select(F.col("label").cast("long").alias("scan_id"), (F.col("point_id") % 3).alias("layout_id"), F.col("point_id").alias("line_idx"), kind.alias("kind"), F.col("point_id").cast("int").alias("idx"), cls.alias("cls"), v.alias("v"))
+
+
+_ITEMS = PTS + """, it AS (SELECT label AS scan_id, point_id % 3 AS layout_id, point_id AS line_idx, point_id % 7 AS i, CASE point_id % 7 WHEN 0 THEN 'wall' WHEN 1 THEN 'door' WHEN 2 THEN 'window' ELSE 'bbox' END AS kind,
+   CASE WHEN point_id % 7 >= 3 THEN CASE WHEN point_id % 7 < 5 THEN 'sofa' ELSE 'lamp' END END AS cls, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z, round(x + 0.5, 4) AS x2 FROM pts)"""
+
+
+@query(_ITEMS + """, o AS (SELECT *, row_number() OVER (PARTITION BY scan_id, layout_id, cls ORDER BY line_idx) AS n FROM it WHERE kind = 'bbox'),
+ g AS (WITH RECURSIVE s AS (SELECT scan_id, layout_id, cls, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(id BIGINT, x DOUBLE, y DOUBLE, z DOUBLE)[]) AS kept FROM (SELECT DISTINCT scan_id, layout_id, cls FROM o)
+   UNION ALL SELECT s.scan_id, s.layout_id, s.cls, s.n + 1, CASE WHEN len(list_filter(s.kept, lambda k: (k.x - o.x) ** 2 + (k.y - o.y) ** 2 + (k.z - o.z) ** 2 < 0.2 * 0.2)) = 0 THEN list_append(s.kept, {'id': o.line_idx, 'x': o.x, 'y': o.y, 'z': o.z}) ELSE s.kept END
+   FROM s JOIN o ON o.scan_id = s.scan_id AND o.layout_id = s.layout_id AND o.cls = s.cls AND o.n = s.n + 1) SELECT * FROM s),
+ b AS (SELECT unnest(list_transform(kept, lambda k: k.id)) AS line_idx FROM (SELECT arg_max(kept, n) AS kept FROM g GROUP BY scan_id, layout_id, cls)),
+ a AS (SELECT * FROM it WHERE kind <> 'bbox' AND layout_id = 0 UNION ALL SELECT it.* FROM it JOIN b USING (line_idx) WHERE layout_id = 1),
+ k AS (SELECT *, row_number() OVER (PARTITION BY scan_id, kind ORDER BY line_idx) - 1 AS n, array_position(['wall', 'door', 'window', 'bbox'], kind) AS rank FROM a)
+ SELECT scan_id, row_number() OVER (PARTITION BY scan_id ORDER BY rank, n) AS line_idx, kind || '_' || n || CASE kind WHEN 'wall' THEN '=Wall(' WHEN 'door' THEN '=Door(wall_0,' WHEN 'window' THEN '=Window(wall_0,' ELSE '=Bbox(' || cls || ',' END AS head, x FROM k""")
+def layout_merge(spark, d):
+    items = _items(spark, d)
+    lines = layouts.merge(items.where("layout_id = 0"), items.where("layout_id = 1"))
+    numbers = F.regexp_replace(F.regexp_extract("line", r"\((.*)\)", 1), r"^(wall_0|sofa|lamp),", "")
+    return lines.select("scan_id", F.col("line_idx").cast("long").alias("line_idx"), F.regexp_extract("line", r"^([a-z]+_\d+=[A-Za-z]+\((wall_0,|sofa,|lamp,)?)", 1).alias("head"), F.split(numbers, ",")[0].cast("double").alias("x"))
+
+
+@query(_ITEMS + """, seg AS (SELECT scan_id, 'w' AS part, 0 AS r, x AS ax, y AS ay, z AS az, x2 AS bx, y AS b_y, z AS bz FROM it WHERE kind = 'wall'
+   UNION ALL SELECT scan_id, kind, CASE kind WHEN 'door' THEN 255 ELSE 0 END, x - 0.1 * (k = 0)::INT, y - 0.1 * (k = 1)::INT, z - 0.1 * (k = 2)::INT, x + 0.1 * (k = 0)::INT, y + 0.1 * (k = 1)::INT, z + 0.1 * (k = 2)::INT FROM it, (SELECT unnest([0, 1, 2]) AS k) WHERE kind IN ('door', 'window')
+   UNION ALL SELECT scan_id, 'b', 255, CASE WHEN ax = 0 THEN x - 0.1 ELSE x + s * 0.1 END, CASE WHEN ax = 1 THEN y - 0.2 ELSE y + CASE WHEN ax = 0 THEN s ELSE t END * 0.2 END, CASE WHEN ax = 2 THEN z - 0.15 ELSE z + t * 0.15 END,
+     CASE WHEN ax = 0 THEN x + 0.1 ELSE x + s * 0.1 END, CASE WHEN ax = 1 THEN y + 0.2 ELSE y + CASE WHEN ax = 0 THEN s ELSE t END * 0.2 END, CASE WHEN ax = 2 THEN z + 0.15 ELSE z + t * 0.15 END
+     FROM it, (SELECT unnest([0, 1, 2]) AS ax), (SELECT unnest([-1, 1]) AS s), (SELECT unnest([-1, 1]) AS t) WHERE kind = 'bbox'),
+ n AS (SELECT *, greatest(2, CAST(ceil(sqrt((bx - ax) ** 2 + (b_y - ay) ** 2 + (bz - az) ** 2) / 0.029) AS BIGINT) + 1) AS n FROM seg),
+ p AS (SELECT scan_id, r, ax + (bx - ax) * k / (n - 1) AS x, ay + (b_y - ay) * k / (n - 1) AS y, az + (bz - az) * k / (n - 1) AS z FROM (SELECT *, unnest(range(n)) AS k FROM n))
+ SELECT scan_id, r, count(*) AS n, round(sum(x), 4) AS sx, round(sum(y), 4) AS sy, round(sum(z), 4) AS sz, round(sum(x * x), 4) AS sxx, round(min(z), 4) AS lo FROM p GROUP BY 1, 2""")
+def layout_drawn(spark, d):
+    p = layouts.drawn(_items(spark, d), 0.029).withColumn("r", F.round(F.col("r") * 255).cast("int"))
+    return p.groupBy("scan_id", "r").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.sum(c), 4).alias(f"s{c}") for c in "xyz"], F.round(F.sum(F.col("x") * F.col("x")), 4).alias("sxx"), F.round(F.min("z"), 4).alias("lo"))
+
+
+@query(CAM_SQL + """, m AS (SELECT n_nationkey AS det_id, x.range AS mx, y.range AS my FROM nation, range(64) x, range(36) y WHERE (x.range + y.range * 2 + n_nationkey) % 11 = 0)
+ SELECT det_id, point_id FROM px JOIN m ON mx = least(greatest(CAST(floor(u * (64 / 1280.0e0)) AS BIGINT), 0), 63) AND my = least(greatest(CAST(floor(v * (36 / 720.0e0)) AS BIGINT), 0), 35) WHERE u >= 0 AND u < 1280 AND v >= 0 AND v < 720""")
+def mask_points(spark, d):
+    cells = spark.range(64 * 36).select((F.col("id") % 64).cast("int").alias("mx"), F.expr("id div 64").cast("int").alias("my"))
+    det = table(spark, d, "nation").select(F.col("n_nationkey").alias("det_id"))
+    masks = cells.withColumn("det_id", F.explode(F.sequence(F.lit(0), F.lit(24)))).join(det, "det_id", "left_semi").where("(mx + my * 2 + det_id) % 11 = 0")
+    return cam.mask_points(cam.project(points(spark, d), CAM), masks, CAM, 64, 36).select("det_id", "point_id")
+
+
+@query(PTS + " SELECT point_id, abs(r - 0.5e0) > 0.15 OR abs(label / 10.0e0 - 0.5e0) > 0.15 AS colorized, sqrt(x * x + y * y + z * z) > 0.05 AS far FROM pts")
+def point_flags(spark, d):
+    return points(spark, d).select("point_id", grid.is_colorized(0.15, gray=0.5).alias("colorized"), (norm("x", "y", "z") > 0.05).alias("far"))
+
+
+@query("WITH p AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings), t AS (SELECT a.x AS ax, a.y AS ay, b.x AS bx, b.y AS b_y, a.vec_id AS i, b.vec_id AS j FROM p a, p b WHERE a.vec_id <> b.vec_id AND a.vec_id % 5 = 0 AND b.vec_id % 5 = 0), e AS (SELECT ax, ay, bx, b_y FROM t WHERE NOT EXISTS (SELECT 1 FROM p c WHERE c.vec_id % 5 = 0 AND (bx - ax) * (c.y - ay) - (b_y - ay) * (c.x - ax) < 0)) SELECT round(sum(ax * b_y - bx * ay) / 2, 6) AS area FROM e")
+def hull_area(spark, d):
+    return spark.createDataFrame([(round(planes.hull_area(points(spark, d).where("point_id % 5 = 0")), 6),)], "area double")
+
+
+@query(EV + """, b AS (SELECT CAST(floor(value / 5) AS BIGINT) AS bin, count(*) AS n FROM ev GROUP BY 1), w AS (SELECT *, lag(n) OVER (ORDER BY bin) AS l, lead(n) OVER (ORDER BY bin) AS q FROM b), p AS (SELECT bin, n FROM w WHERE n > l AND n > q ORDER BY n DESC, bin DESC LIMIT 2)
+ SELECT bin, n FROM p""")
+def top_two_peaks(spark, d):
+    rows = samples(spark, d).groupBy(F.floor(F.col("value") / 5).alias("bin")).agg(F.count(F.lit(1)).alias("n")).orderBy("bin").collect()  # bins of a histogram
+    values = [r.n for r in rows]
+    return spark.createDataFrame([(rows[i].bin, rows[i].n) for i in top_peaks(values, peaks(values))], "bin long, n long")
+
+
+@query("""WITH im AS (SELECT epoch_us(ts) / 1e6 AS t, value / 100 AS g FROM events WHERE user_id = 1), s AS (SELECT t, avg(g) AS g FROM im GROUP BY 1), seg AS (SELECT t AS t0, lead(t) OVER (ORDER BY t) AS t1, g AS g0, lead(g) OVER (ORDER BY t) AS g1 FROM s),
+ e AS (SELECT min(t) AS lo, max(t) AS hi FROM s), b AS (SELECT r.range AS bucket, lo + (hi - lo) / 2 + r.range * 1000.0 AS t, lo + (hi - lo) / 2 + 40 * 1000.0 AS ref FROM range(41) r, e),
+ a AS (SELECT bucket, sum(CASE WHEN least(t1, ref) > greatest(t0, t) THEN (least(t1, ref) - greatest(t0, t)) * (2 * g0 + (g1 - g0) / (t1 - t0) * (least(t1, ref) + greatest(t0, t) - 2 * t0)) / 2 ELSE 0 END) AS w FROM b, seg WHERE t1 IS NOT NULL GROUP BY 1)
+ SELECT bucket, round(w, 4) + 0e0 AS w FROM a""")
+def rotation_between(spark, d):
+    imu = samples(spark, d).where("user_id = 1").select("t", *[(F.col("value") / 100).alias(c) for c in ("gx", "gy", "gz")])
+    lo, hi = imu.agg(F.min("t"), F.max("t")).first()
+    scan = spark.range(41).select(F.lit(0).cast("long").alias("scan_id"), F.lit((lo or 0.0) + ((hi or 0.0) - (lo or 0.0)) / 2).alias("stamp"), (F.col("id") * 1000.0).alias("t_off"))
+    return motion.rotation_angles(scan, imu, bucket=1000.0).select("bucket", (F.round("wx", 4) + 0.0).alias("w"))
