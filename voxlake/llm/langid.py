@@ -32,7 +32,9 @@ from .shingles import _BYTE, mix
 
 UNKNOWN = "und"
 #: Bounds of the training sample: documents of a language, characters of a document, languages.
-DOCS_PER_LANGUAGE, SAMPLE_CHARS, MAX_LANGUAGES = 300, 20_000, 500
+DOCS_PER_LANGUAGE, SAMPLE_CHARS, MAX_LANGUAGES = 300, 20_000, 64
+#: Spans of words of a training step, fewer for many languages, as a step holds a matrix of languages a word.
+STEP_SPANS, FEWEST_SPANS = 600, 40
 #: Rows of the feature table, words of the lexicon, passes over the sample.
 TABLE_BITS, LEXICON, EPOCHS = 16, 4000, 4
 TABLE = 1 << TABLE_BITS
@@ -178,9 +180,9 @@ def train(texts: list[str], labels: list[str], seed: int = 0) -> Model:
     letters = np.concatenate([whole.first, [len(whole.grams[0])]])
     entry = model.entries(whole)
     g_table, g_lex, g_step = np.full((TABLE, k), 1e-3), np.full((len(model.lex), k), 1e-3), np.full((k, k), 1e-3)
-    rate = 0.25
+    rate, step_spans = 0.25, max(FEWEST_SPANS, min(STEP_SPANS, STEP_SPANS * 64 // (k * k)))
     for _ in range(EPOCHS):
-        for part in np.array_split(rng.permutation(len(spans)), max(1, len(spans) // 600)):
+        for part in np.array_split(rng.permutation(len(spans)), max(1, len(spans) // step_spans)):
             words = np.concatenate([np.arange(a, b) for a, b in spans[part]])
             size = letters[words + 1] - letters[words]
             first = np.cumsum(size) - size

@@ -2,14 +2,16 @@
 
 Reading resynchronises on frame headers (a header counts if the next one follows where its length says, or
 the stream ends there), parses ID3v2 and ID3v1 tags and Xing, Info and VBRI tables, verifies the checksum of
-protected Layer III frames, and gives the exact duration in samples and every frame's offset for seeking.
+protected Layer III frames, and gives the exact duration in samples (also without what the encoder added before and
+after, where the table tells), whether the table's count agrees, and every frame's offset for seeking.
 
 Writing stores a payload losslessly as the ancillary data of MPEG-1 Layer III frames (48 kHz, one channel,
 128 kbit/s, protected; side information of zeros, so all that follows it is ancillary data). The last frame
 takes the least bitrate that holds the rest, hence a Xing table precedes; an ID3v2 tag holds the length.
 
 Defined cases: a null text is empty and its payload one padded block; bytes without a frame give no frames, a
-duration of 0 and an empty payload; repeated rows get equal results; an empty table gives no rows.
+duration of 0 and an empty payload; a text of any length is one stream; repeated rows get equal results; an empty table
+gives no rows. analyse keeps other columns but those named like its own, store_texts ignores them.
 """
 
 from __future__ import annotations
@@ -83,26 +85,47 @@ def _syncsafe(b: bytes) -> int:
     return b[0] << 21 | b[1] << 14 | b[2] << 7 | b[3]
 
 
+def _text(value: bytes) -> str:
+    """A text frame's value: a byte of encoding, then the text."""
+    return value[1:].decode({0: "latin-1", 1: "utf-16", 2: "utf-16-be"}.get(value[0], "utf-8"), "replace").rstrip("\0")
+
+
+def _frames(body: bytes, major: int):
+    """(name, value) of the frames of an ID3v2 tag: names and sizes take three bytes in version 2, four later on."""
+    at, wide = 0, 3 if major == 2 else 4
+    head = 6 if major == 2 else 10
+    while at + head <= len(body) and body[at] >= 0x30:
+        size = body[at + wide : at + 2 * wide]
+        n = _syncsafe(size) if major == 4 else int.from_bytes(size, "big")
+        value = body[at + head : at + head + n]
+        if n <= 0 or len(value) < n:
+            return
+        if major == 4 and body[at + 9] & 2:
+            value = value.replace(b"\xff\0", b"\xff")
+        if major == 4 and body[at + 9] & 1:  # its length before it was unsynchronised
+            value = value[4:]
+        yield body[at : at + wide].decode("latin-1"), value
+        at += head + n
+
+
 def _tags(media: bytes) -> tuple[dict[str, str], int, int]:
-    """Tags, where audio starts and where it ends."""
+    """Tags, where audio starts and where it ends. ID3v2.2 to 2.4, unsynchronised and with extended headers, and ID3v1."""
     tags, begin, end = {}, 0, len(media)
     while media[begin : begin + 3] == b"ID3" and len(media) >= begin + 10:
-        size, major = _syncsafe(media[begin + 6 : begin + 10]), media[begin + 3]
-        at, stop = begin + 10, min(begin + 10 + size, len(media))
-        while at + 10 <= stop and media[at] >= 0x41:
-            name = media[at : at + 4].decode("latin-1")
-            n = _syncsafe(media[at + 4 : at + 8]) if major == 4 else int.from_bytes(media[at + 4 : at + 8], "big")
-            if n <= 0 or at + 10 + n > stop:
-                break
-            value = media[at + 10 : at + 10 + n]
-            if name[0] == "T":
-                value = value[1:].decode({0: "latin-1", 1: "utf-16", 2: "utf-16-be"}.get(value[0], "utf-8"), "replace").rstrip("\0")
-                if name == "TXXX":
+        size, major, flags = _syncsafe(media[begin + 6 : begin + 10]), media[begin + 3], media[begin + 5]
+        body = media[begin + 10 : min(begin + 10 + size, end)]
+        if flags & 0x80 and major < 4:
+            body = body.replace(b"\xff\0", b"\xff")
+        if flags & 0x40 and major > 2 and len(body) >= 4:  # version 3 does not count the size's own bytes
+            body = body[_syncsafe(body[:4]) :] if major == 4 else body[4 + int.from_bytes(body[:4], "big") :]
+        for name, value in _frames(body, major):
+            if name[0] == "T" and value:
+                value = _text(value)
+                if name in ("TXXX", "TXX"):
                     key, _, value = value.partition("\0")
-                    name = f"TXXX:{key}"
+                    name = f"{name}:{key}"
                 tags[name] = value
-            at += 10 + n
-        begin = begin + 10 + size + (10 if media[begin + 5] & 0x10 else 0)
+        begin += 10 + size + (10 if flags & 0x10 and major == 4 else 0)
     if end - begin >= 128 and media[end - 128 : end - 125] == b"TAG":
         end -= 128
         tags["ID3v1"] = media[end + 3 : end + 33].rstrip(b"\0 ").decode("latin-1")
@@ -113,18 +136,22 @@ def _vbr_table(media: bytes, at: int, side: int, protected: bool, length: int):
     for x in (at + 4 + side, at + 4 + 2 * protected + side):
         if (name := media[x : x + 4]) in (b"Xing", b"Info"):
             flags, x = int.from_bytes(media[x + 4 : x + 8], "big"), x + 8
-            out = {"kind": name.decode(), "frames": None, "bytes": None, "toc": b""}
+            out = {"kind": name.decode(), "frames": None, "bytes": None, "toc": b"", "delay": 0, "padding": 0}
             if flags & 1:
                 out["frames"], x = int.from_bytes(media[x : x + 4], "big"), x + 4
             if flags & 2:
                 out["bytes"], x = int.from_bytes(media[x : x + 4], "big"), x + 4
             if flags & 4:
-                out["toc"] = media[x : x + 100]
+                out["toc"], x = media[x : x + 100], x + 100
+            x += 4 * (flags >> 3 & 1)
+            if media[x : x + 4] in (b"LAME", b"Lavc", b"Lavf", b"GOGO") and x + 24 <= at + length:  # twelve bits each of what the encoder added
+                added = int.from_bytes(media[x + 21 : x + 24], "big")
+                out["delay"], out["padding"] = added >> 12, added & 0xFFF
             return out
     if media[at + 36 : at + 40] == b"VBRI" and length > 62:
         n, scale, width = struct.unpack(">HHH", media[at + 54 : at + 60])
         table = media[at + 62 : at + 62 + n * width]
-        return {"kind": "VBRI", "bytes": int.from_bytes(media[at + 46 : at + 50], "big"), "frames": int.from_bytes(media[at + 50 : at + 54], "big"), "toc": table}
+        return {"kind": "VBRI", "bytes": int.from_bytes(media[at + 46 : at + 50], "big"), "frames": int.from_bytes(media[at + 50 : at + 54], "big"), "toc": table, "delay": int.from_bytes(media[at + 42 : at + 44], "big"), "padding": 0}
     return None
 
 
@@ -168,6 +195,7 @@ def read(media: bytes) -> dict:
     return {
         "payload": data, "sample_rate": max(rates, default=0), "channels": channels, "layer": layer, "samples": samples, "frames": len(offsets),
         "seek_offsets": offsets, "checked": checked, "bad_checksums": bad, "resyncs": resyncs, "skipped_bytes": skipped + max(0, end - at),
+        "played_samples": max(0, samples - (vbr["delay"] + vbr["padding"] if vbr else 0)), "table_agrees": vbr["frames"] == len(offsets) if vbr and vbr["frames"] is not None else None,
         "vbr_kind": vbr["kind"] if vbr else None, "vbr_frames": vbr["frames"] if vbr else None, "vbr_bytes": vbr["bytes"] if vbr else None, "tags": tags,
     }
 
@@ -227,7 +255,7 @@ def store_texts(docs: DataFrame) -> DataFrame:
 _READ = [
     ("payload", "binary", pa.binary()), ("sample_rate", "int", pa.int32()), ("channels", "int", pa.int32()), ("layer", "int", pa.int32()), ("samples", "long", pa.int64()), ("frames", "long", pa.int64()),
     ("seek_offsets", "array<long>", pa.list_(pa.int64())), ("checked", "long", pa.int64()), ("bad_checksums", "long", pa.int64()), ("resyncs", "long", pa.int64()), ("skipped_bytes", "long", pa.int64()),
-    ("vbr_kind", "string", pa.string()), ("vbr_frames", "long", pa.int64()), ("vbr_bytes", "long", pa.int64()), ("tags", "map<string,string>", pa.map_(pa.string(), pa.string())),
+    ("played_samples", "long", pa.int64()), ("table_agrees", "boolean", pa.bool_()), ("vbr_kind", "string", pa.string()), ("vbr_frames", "long", pa.int64()), ("vbr_bytes", "long", pa.int64()), ("tags", "map<string,string>", pa.map_(pa.string(), pa.string())),
 ]
 
 
