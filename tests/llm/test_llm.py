@@ -404,6 +404,36 @@ def test_mpeg_resync_and_tables():
     assert mpeg_audio.read((frame + bytes(417))[:417])["vbr_frames"] == 9
 
 
+def test_mpeg_tags_and_added_samples():
+    base = mpeg_audio.write(b"ab" * 960)
+    audio = base[10 + base[9] :]
+    title = lambda name, size, value: name + size + (b"\0\0" if len(name) == 4 else b"") + value
+    sync = lambda n: bytes([n >> 21 & 127, n >> 14 & 127, n >> 7 & 127, n & 127])
+    tag = lambda major, flags, body: b"ID3" + bytes([major, 0, flags]) + sync(len(body)) + body
+    two = tag(2, 0, title(b"TT2", (6).to_bytes(3, "big"), b"\0title"))
+    three = tag(3, 0x40, (6).to_bytes(4, "big") + bytes(6) + title(b"TIT2", (6).to_bytes(4, "big"), b"\0title"))
+    unsynced = tag(3, 0x80, title(b"TIT2", (4).to_bytes(4, "big"), b"\0a\xff\0b"))
+    four = tag(4, 0, title(b"TIT2", sync(6), b"\3title"))
+    for head, name, value in ((two, "TT2", "title"), (three, "TIT2", "title"), (unsynced, "TIT2", "a\xffb"), (four, "TIT2", "title")):
+        got = mpeg_audio.read(head + audio)
+        assert got["tags"][name] == value and got["frames"] == mpeg_audio.read(audio)["frames"] and got["skipped_bytes"] == 0
+    plain = mpeg_audio.read(audio)
+    assert plain["played_samples"] == plain["samples"] and plain["table_agrees"]
+    at = audio.index(b"Xing") + 4 + 4 + 8 + 100
+    added = audio[:at] + b"LAME3.100" + bytes(12) + (576 << 12 | 1000).to_bytes(3, "big") + audio[at + 24 :]
+    got = mpeg_audio.read(added)
+    assert got["played_samples"] == got["samples"] - 1576 and not mpeg_audio.read(audio[: len(audio) - 384 * 2])["table_agrees"]
+
+
+def test_many_languages_are_learned():
+    rng = np.random.default_rng(3)
+    words = [["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 5)) for _ in range(12)] for _ in range(40)]
+    texts, labels = zip(*[(" ".join(rng.choice(words[k], 25)), f"l{k:02}") for k in range(40) for _ in range(12)])
+    model = langid.train(list(texts), list(labels))
+    found = [x[0] for x in langid.label_texts(model, pa.array(texts))]
+    assert np.mean([a == b for a, b in zip(found, labels)]) > 0.95
+
+
 def spans_by_rule(text):
     found = []
     for m in re.finditer(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
