@@ -8,8 +8,8 @@ Escapes are reversible: a backslash, `<` and `#` of a text, and also `:` of a ro
 backslash and a letter, so no control string can occur inside a text. All text is kept, valid or not.
 
 Defined cases: null text and null role are empty strings; rows of equal turn go by role, then text; null turns
-come first; a null conv_id is a conversation of its own; repeated rows are turns as often as they occur; an
-empty table gives no rows; other columns are ignored.
+come first; a null conv_id is a conversation of its own; repeated rows are turns as often as they occur; a text of any
+length is one segment; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -73,7 +73,7 @@ def format_chats(rows: DataFrame, t: Template = TEMPLATE) -> DataFrame:
         "conv_id", "turn", role.alias("role"), text.alias("text"), learned.alias("learned"),
         F.concat(_lit(t.open), role_label(role, t), _lit(t.after_role)).alias("head"), escape(text).alias("body"),
     )
-    turns = written.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "learned", "head", "body")), _by_turn).alias("turns"))
+    turns = written.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "learned", "head", "body"))).alias("turns"))  # null turns first
     moves = F.create_map(*[_lit(x) for (state, r), to in t.moves.items() for x in (f"{state} {r}", to)])
     state = F.aggregate("turns", _lit(t.start), lambda acc, x: F.coalesce(moves[F.concat(acc, _lit(" "), x["role"])], _lit(INVALID)))
     pieces = F.flatten(F.transform("turns", lambda x: F.array(F.struct(x["head"].alias("text"), F.lit(False).alias("loss")), F.struct(x["body"].alias("text"), x["learned"].alias("loss")), F.struct(_lit(t.close).alias("text"), F.lit(False).alias("loss")))))
@@ -81,16 +81,6 @@ def format_chats(rows: DataFrame, t: Template = TEMPLATE) -> DataFrame:
     return out.select("conv_id", "state", F.col("state").isin(*t.final).alias("valid"), "segments", F.array_join(F.transform("segments", lambda x: x["text"]), "").alias("formatted"))
 
 
-def _by_turn(a: Column, b: Column) -> Column:
-    """Order of turns: null first, then by turn, role and text."""
-
-    def cmp(name: str, rest: Column) -> Column:
-        x, y = a[name], b[name]
-        return F.when(x.eqNullSafe(y), rest).when(x.isNull(), F.lit(-1)).when(y.isNull(), F.lit(1)).when(x < y, F.lit(-1)).otherwise(F.lit(1))
-
-    return cmp("turn", cmp("role", cmp("text", F.lit(0))))
-
-
 def parse(formatted: Column, t: Template = TEMPLATE) -> Column:
     """An output back to an array of (role, text)."""
     turns = F.slice(F.split(formatted, _quoted(t.close)), 1, F.size(F.split(formatted, _quoted(t.close))) - 1)
