@@ -120,6 +120,18 @@ def test_percentiles(spark, monkeypatch):
     assert quantile.percentiles(df.where("v > 100 AND NOT isnan(v)"), "v", [0.5]) is None
 
 
+def test_nearest_means_by_search_and_by_scan(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    p = np.concatenate([rng.normal(size=(200, 3)) * 0.1, rng.uniform(-2, 2, (60, 3)), [[30.0, 0, 0], [30, 0, 0]]])
+    want = np.sort(np.linalg.norm(p[:, None] - p[None], axis=2), 1)[:, :6].mean(1)
+    for few in (0, 5, 1000):
+        monkeypatch.setattr(grid, "FEW", few)
+        got = {r.point_id: r.mean_d for r in grid.nearest_means(cloud(spark, p), 0.05, 6).collect()}
+        assert np.allclose([got[k] for k in range(len(p))], want)
+    few = cloud(spark, p[:3])
+    assert np.allclose([r.mean_d for r in grid.nearest_means(few, 0.01, 6).orderBy("point_id").collect()], np.linalg.norm(p[:3, None] - p[None, :3], axis=2).mean(1))
+
+
 def room(n=9000, w=4.0, d=3.0, h=2.5, noise=0.005, seed=0):
     rng = np.random.default_rng(seed)
     u = lambda k: (rng.random(k), rng.random(k))

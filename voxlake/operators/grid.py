@@ -75,27 +75,54 @@ def idw_colors(gray: DataFrame, colored: DataFrame, radius: float, k: int = 8, l
     return near.groupBy("gray_id").agg(blend("r"), blend("g"), blend("b"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
 
 
+#: Points whose nearest ones are looked for in one pass over the cloud.
+FEW = 1000
+
+
+def _means_by_scan(points: DataFrame, few: list, k: int) -> DataFrame:
+    """point_id, mean_d of up to FEW points: each task keeps the k least distances of each, which meet at the end."""
+    at = [(r.x, r.y, r.z) for r in few]
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        q, best = np.array(at), np.full((len(at), 0), np.inf)
+        for b in batches:
+            p = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(3)], 1)
+            for i in range(0, len(p), 2048):
+                d = ((q[:, None, :] - p[None, i : i + 2048]) ** 2).sum(2)
+                best = np.concatenate([best, d], 1)
+                if best.shape[1] > k:
+                    best = np.partition(best, k - 1, 1)[:, :k]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(at)), best.shape[1])), pa.array(best.ravel())], names=["i", "d2"])
+
+    found = points.select("x", "y", "z").mapInArrow(run, "i long, d2 double")
+    least = found.withColumn("_k", F.row_number().over(Window.partitionBy("i").orderBy("d2"))).where(F.col("_k") <= k).groupBy("i").agg(F.avg(F.sqrt("d2")).alias("mean_d"))
+    names = points.sparkSession.createDataFrame([(k, r.point_id) for k, r in enumerate(few)], f"i long, point_id {points.schema['point_id'].dataType.simpleString()}")
+    return least.join(F.broadcast(names), "i").select("point_id", "mean_d")  # FEW rows
+
+
 def nearest_means(points: DataFrame, start: float, k: int) -> DataFrame:
     """point_id, mean_d: the mean distance of each point to its k nearest (itself counted; all where there are fewer).
     Points with fewer than k within the radius are searched again within twice the radius, from start on, until the k
-    are proven or the radius holds the whole cloud. Points without finite coordinates are left out."""
+    are proven; the last FEW of them, which may stand far from all others, by one pass over the cloud. Points without
+    finite coordinates are left out."""
     points = stored(points.where(" AND ".join(f"abs({c}) < double('infinity')" for c in "xyz")).select("point_id", "x", "y", "z"))
-    e = points.agg(*[(F.max(c) - F.min(c)).alias(c) for c in "xyz"]).first()
-    widest = sum(v * v for v in e) ** 0.5 * (1 + 1e-9) if e.x is not None else 0.0
     other = points.withColumnRenamed("point_id", "other_id")
     done, rest, radius = [], points, start
     while True:
         near = knn(radius_pairs(rest, other, radius, "point_id", "other_id"), "point_id", "other_id", k)
         near = stored(near.groupBy("point_id").agg(F.avg(F.sqrt("d2")).alias("mean_d"), F.count(F.lit(1)).alias("n")))
-        if radius >= widest:
-            done.append(near)
-            break
         done.append(near.where(F.col("n") >= k))
-        few = near.where(F.col("n") < k)
-        if few.isEmpty():
+        rest = points.join(near.where(F.col("n") < k).select("point_id"), "point_id", "left_semi")
+        few = rest.limit(FEW + 1).collect()
+        if len(few) <= FEW:
             break
-        rest, radius = points.join(few.select("point_id"), "point_id", "left_semi"), 2 * radius
-    return reduce(DataFrame.unionByName, done).select("point_id", "mean_d")
+        radius *= 2
+    if few:
+        done.append(_means_by_scan(points, few, k))
+    return reduce(DataFrame.unionByName, [d.select("point_id", "mean_d") for d in done])
 
 
 def statistical_outliers(points: DataFrame, start: float, k: int, ratio: float) -> DataFrame:
