@@ -318,6 +318,28 @@ def test_whole_scan(spark):
     assert set(flat) == {"wall_rmse_m", "n_walls", "floor_rmse_m", "floor_inliers", "coherence_mean", "coherence_p95", "mixed_voxels", "mean_jerk", "p95_jerk", "trajectory_length_m"} and abs(flat["trajectory_length_m"] - 0.04) < 0.01
 
 
+def test_map_with_colour_level_and_outliers(spark, tmp_path):
+    """Two scans of a tilted room whose camera sees one wall; lone points go, the floor comes to 0, the trajectory is kept."""
+    from voxlake.plans.build_map import build_map
+
+    base = room(2500, noise=0.002)
+    tilt = np.array([[1, 0, 0], [0, math.cos(0.1), -math.sin(0.1)], [0, math.sin(0.1), math.cos(0.1)]])
+    world = np.concatenate([base, [[2.0, 1.5, 9.0], [20.0, 1.0, 1.0]]]) @ tilt.T
+    rows = [(0, s, k, 100.0 + s, 0.0, *map(float, p)) for s in (0, 1) for k, p in enumerate(world[s::2])]
+    points = spark.createDataFrame(rows, "bag_id long, scan_id long, point_idx int, stamp double, t_off double, x double, y double, z double")
+    imu = spark.createDataFrame([(0, 99.0 + 0.1 * k, 0.0, 0.0, 0.0) for k in range(40)], "bag_id long, t double, gx double, gy double, gz double")
+    poses = spark.createDataFrame([(s, 1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0) for s in (0, 1)], "scan_id long, " + ", ".join(f"r{i}{j} double" for i in range(3) for j in range(3)) + ", tx double, ty double, tz double")
+    images = spark.createDataFrame([(0, 7, 100.02)], "bag_id long, image_id long, t double")
+    cam = camera.Camera(50.0, 50.0, 50.0, 50.0, 100, 100, (0.0,) * 5, ((0, -1, 0), (0, 0, -1), (1, 0, 0)), (1.5, 1.2, 0.5))
+    pixels = spark.range(10_000).select(F.lit(7).cast("long").alias("image_id"), (F.col("id") % 100).cast("int").alias("u"), F.expr("id div 100").cast("int").alias("v"), F.lit(255).alias("r"), F.lit(0).alias("g"), F.lit(0).alias("b"))
+    out = build_map(points, imu, poses, images, pixels, cam, voxel=0.05, neighbours=8).toPandas()
+    assert len(out) > 2000 and out.z.max() < 4 and out.x.max() < 5 and abs(out.z[out.z < 0.1].median()) < 0.05
+    red = out[out.has_color]
+    assert 0 < len(red) < len(out) and (red.r == 1).all() and (out[~out.has_color].r == grid.GRAY).all()
+    motion.write_trajectory(poses, points.select("scan_id", "stamp").distinct(), f"{tmp_path}/t")
+    assert spark.read.option("header", True).csv(f"{tmp_path}/t").columns == ["timestamp", "x", "y", "z", "qw", "qx", "qy", "qz"]
+
+
 def test_deskew_warns_and_holds_rates(spark):
     t = np.linspace(0, 0.08, 9)
     xyz = np.tile([1.0, 0, 0], (9, 1))

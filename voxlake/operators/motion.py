@@ -129,6 +129,11 @@ def trajectory(poses: DataFrame, scans: DataFrame) -> DataFrame:
     return p.orderBy("scan_id").select(*[F.format_string("%.6f", c).alias(n) for c, n in (("stamp", "timestamp"), ("tx", "x"), ("ty", "y"), ("tz", "z"), ("qw", "qw"), ("qx", "qx"), ("qy", "qy"), ("qz", "qz"))])
 
 
+def write_trajectory(poses: DataFrame, scans: DataFrame, path: str) -> None:
+    """The trajectory as one CSV file with a header, in a folder at path; a row a scan."""
+    trajectory(poses, scans).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
 def diverged(poses: DataFrame, most: float = 100.0) -> DataFrame:
     """One row: whether a pose is not finite or the extent passes most."""
     bad = F.lit(False)

@@ -12,14 +12,16 @@ from ..operators.ordered import asof_nearest
 
 
 def build_map(points: DataFrame, imu: DataFrame, poses: DataFrame, images: DataFrame | None = None, pixels: DataFrame | None = None, calibration: cam.Camera | None = None, voxel: float = 0.01, tolerance: float = 0.15, neighbours: int = 20, ratio: float = 2.0, level: bool = True) -> DataFrame:
+    by = [c for c in ("bag_id",) if all(c in df.columns for df in (points, imu))]  # each bag has its own times
     if calibration is not None:
-        times = points.select((F.col("stamp") + F.col("t_off")).alias("t")).distinct().withColumn("one", F.lit(1))
-        match = asof_nearest(times, images.select(F.lit(1).alias("one"), "t", "image_id"), "one", "t", "image_id", tolerance)
-        timed = points.withColumn("t", F.col("stamp") + F.col("t_off")).join(match.select("t", F.col("match_id").alias("image_id")), "t", "left")
-        points = cam.sample_colors(cam.project(timed, calibration), pixels, calibration).drop("t", "u", "v", "depth", "image_id")
+        key = "bag_id" if "bag_id" in points.columns and "bag_id" in images.columns else "one"
+        timed = points.withColumns({"t": F.col("stamp") + F.col("t_off"), "one": F.lit(1)})
+        match = asof_nearest(timed.select(key, "t").distinct(), images.withColumn("one", F.lit(1)).select(key, "t", "image_id"), key, "t", "image_id", tolerance)
+        timed = timed.join(match.select(key, "t", F.col("match_id").alias("image_id")), [key, "t"], "left")
+        points = cam.sample_colors(cam.project(timed, calibration), pixels, calibration).drop("t", "u", "v", "depth", "image_id", "one")
     else:
         points = points.withColumns({"has_color": F.lit(False), **{c: F.lit(grid.GRAY) for c in "rgb"}})
-    world = motion.apply_poses(motion.deskew(points, imu), poses)
+    world = motion.apply_poses(motion.deskew(points, imu, by=tuple(by)), poses)
     cloud = grid.voxel_color_mean(world, voxel).withColumn("point_id", grid.packed(F.col("vx"), F.col("vy"), F.col("vz"))).drop("vx", "vy", "vz", "n")
     cloud = cloud.join(grid.statistical_outliers(cloud.select("point_id", "x", "y", "z"), 3 * voxel, neighbours, ratio).select("point_id"), "point_id", "left_semi")
     if level and (floor := planes.detect_floor(cloud)) is not None:
