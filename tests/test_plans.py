@@ -3,6 +3,7 @@
 import math
 import struct
 import warnings
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -15,7 +16,7 @@ from voxlake.functions import binning, polygon
 from voxlake.operators import camera, grid, metrics, motion, planes, quantile, raster, walls
 from voxlake.plans import floor_plan, layouts, level_cloud, scan
 from voxlake.plans.backends import register
-from voxlake.sources import bag, calibration, ply
+from voxlake.sources import bag, calibration, ply, png
 
 
 class Writer:
@@ -166,12 +167,47 @@ def test_floor_plan(plan):
     corners = sorted(map(tuple, ring.round(2).tolist()))
     assert np.abs(np.array(corners) - [(0, 0), (0, 3), (4, 0), (4, 3)]).max() <= 0.02
     assert abs(abs(polygon.signed_area(found["variants"]["A_natural"])) - 12) < 0.6 and len(found["variants"]["C_snapped"]) >= 4
+    b = found["variants"]["B_corners"]
+    assert found["n_corners_detected"] == len(b) >= 4 and min(np.linalg.norm(b - c, axis=1).min() for c in ((0, 0), (4, 0))) < 0.25
     doc = floor_plan.plan_metadata(found)
     assert '"D_refined"' in doc and '"snapped_to": "dominant"' in doc and '"area_m2": 12.0' in doc
     with pytest.raises(ValueError):
         floor_plan.usable_ring({"A_natural": np.array([(0, 0), (0.5, 0), (0.5, 0.5)])})
 
 
+def pixels_of(data):
+    """Rows of a PNG, with whatever its parts' checksums say."""
+    at, body, size = 8, b"", None
+    assert data[:8] == b"\x89PNG\r\n\x1a\n"
+    while at < len(data):
+        n, name = struct.unpack_from(">I4s", data, at)
+        part = data[at + 8 : at + 8 + n]
+        assert zlib.crc32(name + part) == struct.unpack_from(">I", data, at + 8 + n)[0]
+        size = struct.unpack_from(">IIBB", part) if name == b"IHDR" else size
+        body += part if name == b"IDAT" else b""
+        at += 12 + n
+    wide = size[0] * (3 if size[3] == 2 else 1)
+    rows = np.frombuffer(zlib.decompress(body), np.uint8).reshape(size[1], wide + 1)
+    assert (rows[:, 0] == 0).all()
+    return rows[:, 1:].reshape(size[1], size[0], -1)
+
+
+def test_pictures(plan, spark, tmp_path, monkeypatch):
+    df, found = plan
+    colored = df.withColumns({"r": F.lit(1.0), "g": F.lit(0.0), "b": F.lit(0.0)})
+    path = f"{tmp_path}/a/slice.png"
+    assert png.slice_png(colored, path, 1.2) and not png.slice_png(colored, path, 99.0)
+    rows = pixels_of(storage.load_file(spark, path))
+    assert abs(rows.shape[1] * 0.02 - 4) < 0.1 and abs(rows.shape[0] * 0.02 - 3) < 0.1
+    assert {tuple(c) for c in rows.reshape(-1, 3)} == {(255, 255, 255), (255, 0, 0)} and (rows[20:-20, 20:-20] == 255).all()
+    monkeypatch.setattr(raster, "MAX_SIDE", 50)
+    assert png.slice_png(colored, path, 1.2) and pixels_of(storage.load_file(spark, path)).shape[1] == 50
+    png.mask_png(spark, found["mask"], path)
+    assert (pixels_of(storage.load_file(spark, path)) > 0).sum() == found["mask"].sum()
+    png.plan_png(spark, found["variants"], path)
+    assert (pixels_of(storage.load_file(spark, path)) == (220, 0, 0)).all(2).sum() > 1000
+
+
 def test_crop(plan, spark):
     df, found = plan
     out = cloud(spark, np.array([[-0.5, 1, 1], [2, 1, 3.0], [2, 1, 1.0]])).withColumn("point_id", F.col("point_id") + 10**6)

@@ -204,3 +204,37 @@ def contains(ring: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         if ay != by:
             inside ^= ((ay > y) != (by > y)) & (x < (bx - ax) * (y - ay) / (by - ay) + ax)
     return inside
+
+
+def _summed(a: np.ndarray, size: int) -> np.ndarray:
+    """Sums over windows of an odd size, zero beyond the border."""
+    r = size // 2
+    total = np.pad(a, ((r + 1, r), (r + 1, r))).cumsum(0).cumsum(1)
+    return total[size:, size:] - total[:-size, size:] - total[size:, :-size] + total[:-size, :-size]
+
+
+def corners(mask: np.ndarray, apart: float, most: int = 20, quality: float = 0.02, window: int = 7, reach: float = 8.0) -> np.ndarray | None:
+    """Cells at corners of the mask's outline, in the order of their angle about their middle; None for under 3. A corner
+    is where the picture of the outline changes in all directions: the lesser eigenvalue of the gradients' moments over a
+    window, at least `quality` of the greatest one; the strongest first, none nearer than apart to one taken; those
+    farther than reach from the outline are left out."""
+    if not mask.any():
+        return None
+    line = dilated(mask & ~eroded(mask, 3), 3) | (mask & ~eroded(mask, 3))
+    wide = np.pad(line.astype(float), 1)
+    gx = wide[2:, :-2] + 2 * wide[2:, 1:-1] + wide[2:, 2:] - wide[:-2, :-2] - 2 * wide[:-2, 1:-1] - wide[:-2, 2:]
+    gy = wide[:-2, 2:] + 2 * wide[1:-1, 2:] + wide[2:, 2:] - wide[:-2, :-2] - 2 * wide[1:-1, :-2] - wide[2:, :-2]
+    xx, xy, yy = (_summed(g, window) for g in (gx * gx, gx * gy, gy * gy))
+    strength = (xx + yy) / 2 - np.sqrt(((xx - yy) / 2) ** 2 + xy * xy)
+    cells = np.argwhere(strength >= max(quality * strength.max(), 1e-9))
+    cells = cells[np.argsort(-strength[tuple(cells.T)], kind="stable")]
+    taken: list[np.ndarray] = []
+    while len(cells) and len(taken) < most:
+        taken.append(cells[0])
+        cells = cells[np.linalg.norm(cells - cells[0], axis=1) >= apart]
+    border = outline(mask)
+    near = np.array([c for c in taken if np.linalg.norm(border - c, axis=1).min() < reach])
+    if len(near) < 3:
+        return None
+    off = near - near.mean(0)
+    return near[np.argsort(np.arctan2(off[:, 1], off[:, 0]), kind="stable")]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,6 +105,20 @@ def largest_component(cells: DataFrame) -> DataFrame:
     return labelled.join(name, "label").join(F.broadcast(best), F.col("to") == F.col("best"), "left_semi").select("ix", "iy")  # one row
 
 
+#: Pixels of a picture's side.
+MAX_SIDE = 4000
+
+
+def slice_size(points: DataFrame, resolution: float, least: int = 16) -> tuple[int, int, float]:
+    """(width, height, resolution) of a picture of the points, coarser where a side would pass MAX_SIDE."""
+    lo = points.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
+    extent = (lo[2] - lo[0], lo[3] - lo[1])
+    side = lambda r: [max(least, math.ceil(e / r)) for e in extent]
+    if max(side(resolution)) > MAX_SIDE:
+        resolution *= max(side(resolution)) / MAX_SIDE
+    return *side(resolution), resolution
+
+
 def slice_image(points: DataFrame, z: float, thickness: float, resolution: float) -> DataFrame:
     """px, py, r, g, b of a horizontal slice; the last point of a pixel, by point_id, shows."""
     near = points.where(F.abs(F.col("z") - z) < thickness / 2)

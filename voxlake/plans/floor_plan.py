@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.binning import peaks, smoothed, top_peaks
-from ..functions.polygon import buffered, cells_to_metres, dilated, eroded, filled, largest_loop, largest_part, outline, perimeter, signed_area
+from ..functions.polygon import buffered, cells_to_metres, corners, dilated, eroded, filled, largest_loop, largest_part, outline, perimeter, signed_area
 from ..operators import planes, raster, walls
 from ..operators.floorplan import MAX_EDGES, ceiling_slice, in_polygon, line_corners, simplify_ring, snap_angles
 from ..operators.grid import statistical_outliers, voxel_downsample
@@ -107,8 +107,8 @@ def snapped_ring(spark, ring: np.ndarray, step: float = 45.0) -> np.ndarray:
 
 
 def floor_plan(points: DataFrame, resolution: float = 0.03, voxel: float = 0.03, neighbours: int = 20, ratio: float = 2.0, seed: int = 0) -> dict:
-    """points(point_id, x, y, z) -> floor_z, ceiling_z, variants (name -> ring), walls of the refined one, and counts.
-    Corners are not looked for in the picture: B_corners is the natural ring."""
+    """points(point_id, x, y, z) -> floor_z, ceiling_z, variants (name -> ring), walls of the refined one, the ceiling's
+    mask, and counts. B_corners joins the mask's corners; it is the natural ring where fewer than 3 are found."""
     spark = points.sparkSession
     floor_z, ceiling_z, plane = floor_and_ceiling(points, seed=seed)
     if ceiling_z <= floor_z:
@@ -120,9 +120,11 @@ def floor_plan(points: DataFrame, resolution: float = 0.03, voxel: float = 0.03,
     mask, x0, y0, removed = room_mask(ceiling_points(thin, ceiling_z, plane), resolution)
     natural = natural_ring(mask, x0, y0, resolution)
     refined = walls.refine(thin, natural, floor_z, ceiling_z) if len(natural) >= 3 else []
-    rings = {"A_natural": natural, "B_corners": natural, "C_snapped": snapped_ring(spark, natural)}
+    found = corners(mask, 0.5 / resolution) if mask.size else None
+    cornered = largest_loop(cells_to_metres(found, x0, y0, resolution)) if found is not None else natural
+    rings = {"A_natural": natural, "B_corners": cornered, "C_snapped": snapped_ring(spark, natural)}
     rings["D_refined"] = largest_loop(np.array([w.start for w in refined])) if len(refined) >= 3 else natural
-    return {"floor_z": floor_z, "ceiling_z": ceiling_z, "variants": rings, "walls": refined, "n_points_raw": n_raw, "n_points_processed": thin.count(), "n_outlier_clusters_removed": removed}
+    return {"floor_z": floor_z, "ceiling_z": ceiling_z, "variants": rings, "walls": refined, "n_points_raw": n_raw, "n_points_processed": thin.count(), "n_outlier_clusters_removed": removed, "n_corners_detected": 0 if found is None else len(found), "mask": mask}
 
 
 def usable_ring(variants: dict, least_area: float = 1.0) -> tuple[str, np.ndarray]:
@@ -137,7 +139,7 @@ def usable_ring(variants: dict, least_area: float = 1.0) -> tuple[str, np.ndarra
 def plan_metadata(plan: dict) -> str:
     """The plan's numbers as a JSON document."""
     out = {k: round(plan[k], 3) for k in ("floor_z", "ceiling_z")} | {"room_height": round(plan["ceiling_z"] - plan["floor_z"], 3)}
-    out |= {k: plan[k] for k in ("n_points_raw", "n_points_processed", "n_outlier_clusters_removed")} | {"variants": {}}
+    out |= {k: plan[k] for k in ("n_points_raw", "n_points_processed", "n_outlier_clusters_removed", "n_corners_detected")} | {"variants": {}}
     for name, ring in plan["variants"].items():
         rows = [{"length_m": round(float(np.hypot(c - a, d - b)), 3), "angle_deg": round(float(np.degrees(np.arctan2(d - b, c - a)) % 180), 1)} for a, b, c, d in walls.edges(ring)]
         if name == "D_refined":
