@@ -20,6 +20,9 @@ from voxlake.llm import chat_format, common, langid, mixing, mpeg_audio, neardup
 from voxlake.llm.queries import QUERIES, SQL
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+# columns after the tables' own are named like what operators work with
+CHATS = "conv_id long, turn long, role string, text string, head string, turns int, learned boolean, formatted string"
+PAGES = "page_id long, url string, html string, record_id string, record int, kind string, target_uri string"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, target double, spans string, score double, lang_pred string, key long, node long, label long, part long, start long, tie long"
 
 
@@ -52,9 +55,9 @@ def sf(spark, tmp_path_factory):
     d = str(tmp_path_factory.mktemp("sf"))
     frame(spark, documents()).write.parquet(f"{d}/documents.parquet")
     chats = [(1, 0, "user", "hi"), (1, 1, "assistant", "a <b> # \\l \\\\ c"), (1, 1, "assistant", "tie"), (2, None, None, None), (2, 0, "tool:x<#\\", "</turn>\n### User: "), (None, 0, "user", "x"), (3, 0, "system", ""), (3, 1, "user", "q"), (3, 2, "assistant", "long " * 50_000), (4, 0, "assistant", None)]
-    spark.createDataFrame(chats, "conv_id long, turn long, role string, text string").write.parquet(f"{d}/conversations.parquet")
+    spark.createDataFrame([(*r, "h", 1, True, "f") for r in chats], CHATS).write.parquet(f"{d}/conversations.parquet")
     pages = [(1, "http://a/?x\r\ny", "<title> A\n b</title><p>x &amp;lt; y<script>var '</p>'</script><!-- c --><a href=\"/q'\">l</a>"), (2, None, None), (3, "u", "no tags"), (3, "u", "no tags"), (None, "v", "<b>" * 5000), (4, "w", "<script>a</script >x<script>b<!-- c --> d <!-- e <title>T\n t</title> <title> u <a href=\"/p\r\nq\">v</a><a <b> href=\"/no\">" + "w <i>" * 20_000)]
-    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{d}/pages.parquet")
+    spark.createDataFrame([(*r, "mine", 3, "k", "t") for r in pages], PAGES).write.parquet(f"{d}/pages.parquet")
     return d
 
 
@@ -62,8 +65,8 @@ def sf(spark, tmp_path_factory):
 def empty(spark, tmp_path_factory):
     d = str(tmp_path_factory.mktemp("empty"))
     frame(spark, []).write.parquet(f"{d}/documents.parquet")
-    spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{d}/conversations.parquet")
-    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{d}/pages.parquet")
+    spark.createDataFrame([], CHATS).write.parquet(f"{d}/conversations.parquet")
+    spark.createDataFrame([], PAGES).write.parquet(f"{d}/pages.parquet")
     return d
 
 
