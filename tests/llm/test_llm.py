@@ -139,6 +139,30 @@ def test_search_skips_documents():
     assert len(shard.top(t, idf, 10, np.arange(2000), float(full.max()) + 1)[0]) == 0
 
 
+def test_search_takes_queries_together(monkeypatch):
+    rng = np.random.default_rng(10)
+    got = [np.unique(rng.zipf(1.2, rng.integers(1, 300)).clip(1, 9000).astype(np.int64), return_counts=True) for _ in range(900)]
+    got += [got[7]] * 60 + [(np.array([3, 5, 8000]), np.array([900, 70_000, 4]))]  # ties beyond k, high frequencies
+    n, rank = len(got), np.random.default_rng(11).permutation(len(got))
+    batch = search._shard_row(pa.array(range(n)), got, pa.int64())
+    shard = search.Shard({x: batch.column(x)[0].as_buffer() for x in ("lengths", "terms", "df", "docs", "tfs")}, 150.0)
+    df = np.frombuffer(batch.column("df")[0].as_buffer(), "<i4")
+    asked = [np.searchsorted(shard.terms, t) for t, _ in got[:40] + got[-2:]]
+    t, starts = np.concatenate(asked), np.cumsum([0, *map(len, asked)])
+    idf = np.log1p((n - df[t] + 0.5) / (df[t] + 0.5))
+    full = [shard.sums(t[a:b], idf[a:b])[:n].round(9) for a, b in zip(starts, starts[1:])]
+    assert 0 < len(shard.counts) < len(shard.terms)  # some terms are dense, some are not
+    scored, divmod_ = [], np.divmod
+    monkeypatch.setattr(search.np, "divmod", lambda pairs, n: scored.append(len(pairs)) or divmod_(pairs, n))
+    for least in (np.zeros(len(full)), np.array([np.sort(x)[-15] for x in full])):
+        scored.clear()
+        q, doc, score = shard.best(t, idf, starts, 10, rank, least)
+        for k, x in enumerate(full):
+            want = np.lexsort((rank, -x))[:10]
+            assert doc[q == k].tolist() == [d for d in want if x[d] > 0] and np.allclose(score[q == k], x[want], atol=2e-9)
+    assert sum(scored[:1]) < 0.05 * n * len(full)  # few pairs are scored in double precision
+
+
 def test_search_in_blocks(spark, sf, monkeypatch):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
     whole = sorted(map(str, search.search(docs, docs.where("id % 20 = 0")).collect()))
