@@ -163,6 +163,26 @@ def test_search_takes_queries_together(monkeypatch):
     assert sum(scored[:1]) < 0.05 * n * len(full)  # few pairs are scored in double precision
 
 
+def test_search_index_rows_are_small(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    words = [f"w{k}" for k in range(3000)]
+    rows = [(i, " ".join(rng.choice(words, rng.integers(0, 40)))) for i in range(1500)] + [(5000, "w1 w2 " * 3000)]
+    docs = spark.createDataFrame(rows, "id long, text string").coalesce(1)
+    monkeypatch.setattr(search, "ROW_BYTES", 10_000)
+    index = search.build_index(docs).collect()
+    assert len(index) > 10 and all(len(r.docs) <= 4 * 10_000 // 2 for r in index)
+    assert sorted(i for r in index for i in r.ids) == [i for i, _ in rows]
+    names = ("lengths", "terms", "df", "docs", "tfs")
+    got = list(search._term_counts(pa.array([t for _, t in rows])))
+    want = search._shard_row(pa.array([i for i, _ in rows]), got, pa.int64())
+    batches = pa.RecordBatch.from_pylist([{n: r[n] if n == "ids" else bytes(r[n]) for n in ("ids", *names)} for r in index])
+    (ids, whole), *rest = search._shards([batches])
+    assert not rest and ids.to_pylist() == [i for i, _ in rows]
+    assert all(whole[n].tobytes() == want.column(n)[0].as_py() for n in names)
+    monkeypatch.setattr(search, "SHARD_DOCS", 100)
+    assert all(len(ids) <= 100 for ids, _ in search._shards([batches])) or max(len(r.ids) for r in index) > 100
+
+
 def test_search_in_blocks(spark, sf, monkeypatch):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
     whole = sorted(map(str, search.search(docs, docs.where("id % 20 = 0")).collect()))
