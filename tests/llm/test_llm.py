@@ -179,8 +179,9 @@ def test_search_index_rows_are_small(spark, monkeypatch):
     (ids, whole), *rest = search._shards([batches])
     assert not rest and ids.to_pylist() == [i for i, _ in rows]
     assert all(whole[n].tobytes() == want.column(n)[0].as_py() for n in names)
-    monkeypatch.setattr(search, "SHARD_DOCS", 100)
-    assert all(len(ids) <= 100 for ids, _ in search._shards([batches])) or max(len(r.ids) for r in index) > 100
+    monkeypatch.setattr(search, "SHARD_DOCS", 400)
+    sizes = [len(ids) for ids, _ in search._shards([batches])]
+    assert len(sizes) > 3 and max(sizes) <= 400 and sum(sizes) == len(rows)
 
 
 def test_search_in_blocks(spark, sf, monkeypatch):
